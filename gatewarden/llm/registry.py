@@ -7,6 +7,8 @@ import importlib
 #: Query name, module, function.
 QUERIES = {
     "op1_quality_rules": ("quality_rules", "op1"),
+    "op3_chunk_codec": ("chunk_codec", "op3"),
+    "op7_token_counts": ("token_counts", "op7"),
 }
 
 
