@@ -7,6 +7,7 @@ import importlib
 #: Query name, module, function.
 QUERIES = {
     "op1_quality_rules": ("quality_rules", "op1"),
+    "op2_toxicity": ("toxicity", "op2"),
     "op3_chunk_codec": ("chunk_codec", "op3"),
     "op10_simhash": ("simhash", "op10"),
     "op7_token_counts": ("token_counts", "op7"),
