@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": ("toxicity", "op2"),
     "op3_chunk_codec": ("chunk_codec", "op3"),
     "op10_simhash": ("simhash", "op10"),
+    "op4_pseudonyms": ("pii", "op4"),
     "op7_token_counts": ("token_counts", "op7"),
 }
 
