@@ -11,6 +11,7 @@ QUERIES = {
     "op3_chunk_codec": ("chunk_codec", "op3"),
     "op10_simhash": ("simhash", "op10"),
     "op4_pseudonyms": ("pii", "op4"),
+    "op6_topk": ("topk", "op6"),
     "op7_token_counts": ("token_counts", "op7"),
 }
 
@@ -19,5 +20,11 @@ def queries() -> dict:
     return {name: getattr(importlib.import_module(f"gatewarden.llm.{module}"), function) for name, (module, function) in QUERIES.items()}
 
 
+#: Query name, module, name of the SQL.
+SQL = {
+    "op6_topk": ("topk", "OP6_SQL"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(importlib.import_module(f"gatewarden.llm.{module}"), text) for name, (module, text) in SQL.items()}
