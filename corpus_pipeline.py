@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewarden.llm import quality_rules
+from gatewarden.llm import packing, pii, quality_rules, simhash, toxicity
 from gatewarden.llm.common import table, written
 
 
@@ -15,7 +15,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).filter(F.col("quality.kept")).drop("quality")
 
 
-STAGES = [("quality_rules", quality)]
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored as toxic; the examples are the labelled documents of ``sf_dir``."""
+    index = toxicity.fit(toxicity.examples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, index)
+    return scored.filter(F.col("toxicity.predicted") == 0).drop("toxicity")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of linked fingerprints."""
+    return simhash.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts pseudonyms in the place of personal data; they keep their values' lengths, so n_chars stays right."""
+    return pii.pseudonymised(docs, to=None)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: bins of several lengths, in UTF-8 bytes."""
+    return packing.packed(docs.select("doc_id", packing.byte_length(F.col("text")).alias("length")))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("toxicity", toxic),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("best_fit_packing", packing_plan),
+]
 
 #: Learned models and bin packing are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None

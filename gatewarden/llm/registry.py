@@ -13,6 +13,8 @@ QUERIES = {
     "op4_pseudonyms": ("pii", "op4"),
     "op6_topk": ("topk", "op6"),
     "op7_token_counts": ("token_counts", "op7"),
+    "op8_packing": ("packing", "op8"),
+    "op9_url_filter": ("url_filter", "op9"),
 }
 
 
