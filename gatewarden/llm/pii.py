@@ -283,7 +283,11 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", to: str
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def _of_kind(kind: str):  # noqa: ANN202
+    return lambda x: x["kind"] == kind
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("pii", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", "text", *counts, "pii")

@@ -11,6 +11,7 @@ QUERIES = {
     "op3_chunk_codec": ("chunk_codec", "op3"),
     "op10_simhash": ("simhash", "op10"),
     "op4_pseudonyms": ("pii", "op4"),
+    "op5_secrets": ("secrets", "op5"),
     "op6_topk": ("topk", "op6"),
     "op7_token_counts": ("token_counts", "op7"),
     "op8_packing": ("packing", "op8"),
