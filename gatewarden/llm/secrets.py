@@ -33,7 +33,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/=-"
 SYMBOLS = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 #: Documents that ordinary samples are taken from at most, by a hash of the id; random samples of each of three kinds.
-MAX_DOCUMENTS, RANDOM_SAMPLES = 1_000, 3_000
+MAX_DOCUMENTS, RANDOM_SAMPLES = 200, 3_000
 #: Added to each count of a pair; share of ordinary samples that may pass the threshold; least threshold per pair.
 SMOOTHING, MAX_FALSE, MIN_MARGIN = 0.5, 0.0005, 0.25
 
