@@ -1 +1 @@
-""""""
+"""Queries over the driver's tables, each with the SQL it must agree with where SQL can express it."""

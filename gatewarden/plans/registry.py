@@ -1,11 +1,24 @@
-"""Queries over the driver's tables and their SQL."""
+"""All queries by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from gatewarden.plans import oracles
+from gatewarden.plans import queries as q
+
+NAMES = (
+    "structure_identifier_counts param_values_by_structure unknown_structure_split msu_parts msu_parts_whole_path word_tokens_freq "
+    "token_class_counts vocab_topk_ids sequence_encode_pad sequence_counts_dedup value_shape_counts label_histogram methods_rollup "
+    "merge_vocab_union embedding_merge_antijoin knn_top6 knn_vote confusion_matrix classification_report binary_accuracy "
+    "attack_label_extract final_answer_extract prompt_split length_histogram length_totals error_rate_tumbling error_rate_10s "
+    "adaptive_bucket dedup_keep_last row_hash_dedup attack_type_topk totals paged_search retention_7d props_json_extract status_router "
+    "request_lines url_split url_word_tokens similar_pairs cluster_assign cluster_size_histogram signature_rules containment_bucket "
+    "hmm_anomaly_verdict stage_resume two_stage_classification stream_vs_batch_counts latest_event"
+).split()
+
 
 def queries() -> dict:
-    return {}
+    return {name: getattr(q, name) for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracles.SQL[name] for name in NAMES if name in oracles.SQL}

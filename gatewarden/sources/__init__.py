@@ -1 +1 @@
-""""""
+"""Readers and writers of requests, tasks, models and reports."""
