@@ -153,9 +153,10 @@ def all_tokens(alignment: Column) -> Column:
 
 
 def custom_body(body: Column) -> Column:
-    """Parts of a body in braces, split at commas and trimmed."""
-    inner = F.regexp_replace(strip(text(body)), r"^\{+|\}+$", "")
-    return not_blank(F.transform(F.split(inner, ","), strip))
+    """Parts of a body in braces, split at commas and trimmed; any other body is one part."""
+    whole = strip(text(body))
+    inner = F.split(strip(F.regexp_extract(whole, r"(?s)^\{(.*)\}$", 1)), ",")
+    return F.when(whole.rlike(r"(?s)^\{.*\}$"), F.transform(inner, strip)).otherwise(F.array(whole))
 
 
 def clean_string(c: Column) -> Column:
