@@ -42,6 +42,16 @@ def fresh(df: DataFrame, **columns: Column) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumns({names[k]: v for k, v in columns.items()}), names
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column of ``df``."""
+    return fresh(df, **{name: F.lit(None)})[1][name]
+
+
+def others(df: DataFrame, *names: str) -> list:
+    """The fields of ``df`` that results called ``names`` don't take the place of, whatever their case."""
+    return [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a folder of our own only where none is named (tests)."""
     conf, context = "spark.checkpoint.dir", spark.sparkContext
