@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and, for words that vary, their beginnings of PREFIXES characters. Which terms count is learned from the labelled
-examples: those whose document counts differ between the labels beyond chance (log-likelihood ratio). Examples and texts
+examples: those whose document counts differ between the labels beyond chance (log-likelihood ratio) and by a factor of
+MIN_LIFT at least, equal texts counted once. Examples and texts
 are TF-IDF vectors over these terms. The index keeps, for each term and block of BLOCK examples, the largest weight, and
 so a bound of the cosine that any example of a block can reach; blocks are opened from the highest bound down until no
 bound reaches the k-th best cosine found, so the K neighbours are exact. Their votes, weighted by closeness, are mapped
@@ -13,7 +14,8 @@ MAX_TERMS terms, so what is broadcast is bounded however large the corpus is; ev
 Edge cases: null and empty texts, and texts without any term of the model, have no neighbours and get the score of an
 empty vote; ties between equally close examples go to the one that stands first in the index (ordered by label, terms
 and id); repeated rows count as often as they occur; with no labelled rows, or labels of one kind, every score is that
-kind's share (0.0 without rows); extra columns pass through.
+kind's share (0.0 without rows); extra columns pass through, but for one with
+the result's name, whose place it takes.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewarden.llm.common import fresh, table
+from gatewarden.llm.common import others as kept_fields
+from gatewarden.llm.common import table
 
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK = 10_000, 4_000, 15, 64
 PREFIXES = (3, 4, 5, 7)
+#: Blocks opened first; how many times as frequent a term must be with one label as with the other.
+FIRST, MIN_LIFT = 4, 3.0
 #: Least log-likelihood ratio (G) and documents of a term; closeness 1 weighs 1 / NEAR; weight of the empty vote.
 MIN_G, MIN_DOCS, NEAR, EMPTY = 18.0, 4, 0.1, 0.5
 WORDS = re.compile(r"\w+")
@@ -67,33 +72,50 @@ class Index:
         length = math.sqrt(sum(x * x for x in raw.values()))
         return {t: x / length for t, x in raw.items()} if length else {}
 
-    def nearest(self, vector: dict[str, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples with the highest positive cosine, exactly; ties to the lower number."""
+    def nearest(self, vector: dict[str, float], k: int = K) -> list[tuple[float, int]]:
+        """The k examples with the highest positive cosine, exactly; ties to the lower number.
+
+        The FIRST blocks with the highest bounds are opened; then, at once, all others whose bound reaches the k-th best
+        cosine found there.
+        """
         if not vector:
             return []
-        n = len(self.labels)
-        bounds = np.zeros(-(-n // BLOCK))
+        bounds = np.zeros(-(-len(self.labels) // BLOCK))
         for t, q in vector.items():
             bounds += q * self.postings[t][3]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in vector.items():
-                rows, weights, starts, _ = self.postings[t]
-                i, j = starts[b], starts[b + 1]
-                scores[rows[i:j] - b * BLOCK] += q * weights[i:j]
-            if 0 <= without - b * BLOCK < BLOCK:
-                scores[without - b * BLOCK] = 0
-            hits = np.flatnonzero(scores > (best[-1][0] - 1e-12 if len(best) == k else 0))
-            if len(hits):
-                best.extend((round(float(scores[h]), 12), int(b) * BLOCK + int(h)) for h in hits)
-                best.sort(key=lambda x: (-x[0], x[1]))
-                del best[k:]
+        opened = order[:FIRST][bounds[order[:FIRST]] > 0]
+        best = self._best(vector, opened, k)
+        reach = best[-1][0] - 1e-9 if len(best) == k else 0.0
+        rest = order[FIRST:][(bounds[order[FIRST:]] > 0) & (bounds[order[FIRST:]] >= reach)]
+        if len(rest):
+            best = sorted(best + self._best(vector, rest, k), key=lambda x: (-x[0], x[1]))[:k]
         return best
 
+    def _best(self, vector: dict[str, float], blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best examples of some blocks."""
+        scores = np.zeros(len(self.labels))
+        for t, q in vector.items():
+            rows, weights, starts, _ = self.postings[t]
+            if 8 * len(blocks) > len(starts):
+                scores[rows] += q * weights
+            else:
+                for b in blocks:
+                    i, j = starts[b], starts[b + 1]
+                    scores[rows[i:j]] += q * weights[i:j]
+        inside = np.zeros(len(scores), bool) if 8 * len(blocks) <= len(scores) // BLOCK else None
+        if inside is None:
+            chosen = np.zeros(-(-len(scores) // BLOCK), bool)
+            chosen[blocks] = True
+            inside = np.repeat(chosen, BLOCK)[: len(scores)]
+        else:
+            for b in blocks:
+                inside[b * BLOCK : (b + 1) * BLOCK] = True
+        hits = np.flatnonzero(inside & (scores > 0))
+        values = np.round(scores[hits], 12)
+        top = np.lexsort((hits, -values))[:k]
+        return [(float(values[i]), int(hits[i])) for i in top]
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 among the neighbours by closeness, with an empty vote for the prior."""
         weights = [1 / (NEAR + 1 - min(s, 1.0)) for s, _ in near]
@@ -127,7 +149,14 @@ def _built(rows: list[tuple[int, int, dict[str, int]]], of_terms: dict[str, int]
         np.maximum.at(largest, numbers // BLOCK, weights)
         out.postings[t] = numbers, weights, starts, largest
     if 0 < out.prior < 1:
-        out.curve = _logistic([out.vote(out.nearest(v, without=i)) for i, v in enumerate(vectors)], out.labels.tolist())
+        known: dict[tuple, list[tuple[float, int]]] = {}
+        votes = []
+        for i, v in enumerate(vectors):
+            key = tuple(v.items())
+            if key not in known:
+                known[key] = out.nearest(v, K + 1)
+            votes.append(out.vote([x for x in known[key] if x[1] != i][:K]))
+        out.curve = _logistic(votes, out.labels.tolist())
     return out
 
 
@@ -181,12 +210,13 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
 def fit(rows: DataFrame) -> Index:
     """The index over (id, y, text). Term statistics are counted on the executors; the driver gets MAX_TERMS terms and
     the examples' counts of these."""
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    once = rows.dropDuplicates(["y", "text"])
+    totals = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     n = n0 + n1
     if not n0 or not n1:
         return Index(prior=float(n1 > 0))
-    counted = _with_terms(rows, None).select("y", F.explode("terms").alias("term")).groupBy("term")
+    counted = _with_terms(once, None).select("y", F.explode("terms").alias("term")).groupBy("term")
     counted = counted.agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
     counted = counted.filter((F.col("df") >= min(MIN_DOCS, n1)) & (F.col("df") < n))
 
@@ -196,19 +226,22 @@ def fit(rows: DataFrame) -> Index:
     a, df = F.col("a"), F.col("df")
     cells = [(a, df * n1 / n), (df - a, df * n0 / n), (n1 - a, (n - df) * n1 / n), (n0 - df + a, (n - df) * n0 / n)]
     g = 2 * sum((part(s, e) for s, e in cells[1:]), part(*cells[0]))
+    lift = ((a + 0.5) / (n1 + 1)) / ((df - a + 0.5) / (n0 + 1))
+    counted = counted.filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
     chosen = counted.withColumn("g", g).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
     of_terms = {r["term"]: int(r["df"]) for r in chosen}
     own = _with_terms(rows, frozenset(of_terms)).collect()
     return _built([(r["id"], r["y"], dict(zip(r["terms"], r["counts"], strict=True))) for r in own], of_terms, n)
 
 
-def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``: struct of score, label and evidence (the three closest examples with their cosine and
+def score(docs: DataFrame, index: Index, text: str = "text", to: str = "toxicity") -> DataFrame:
+    """``docs`` with ``to``: struct of score, label and evidence (the three closest examples with their cosine and
     label)."""
     kind = T._parse_datatype_string("struct<score:double,predicted:int,evidence:array<struct<id:bigint,cosine:double,label:int>>>")
     arrow = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns
+    fields = kept_fields(docs, to)
+    names = [f.name for f in fields]
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +274,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
             made = pa.array([result(x.as_py()) for x in batch.column(at)], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, to])
 
-    _, given = fresh(docs, toxicity=F.lit(0))
-    to = "toxicity" if "toxicity" not in {c.lower() for c in names} else given["toxicity"]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, kind)]))
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*fields, T.StructField(to, kind)]))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
