@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.llm import packing, pii, quality_rules, simhash, toxicity
-from gatewarden.llm.common import table, written
+from gatewarden.llm.common import free, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject; the rules are learned from the labelled documents of ``sf_dir``."""
     rules = quality_rules.fit(quality_rules.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return quality_rules.judge(docs, rules).filter(F.col("quality.kept")).drop("quality")
+    to = free(docs, "quality")
+    return quality_rules.judge(docs, rules, to=to).filter(F.col(to)["kept"]).drop(to)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored as toxic; the examples are the labelled documents of ``sf_dir``."""
     index = toxicity.fit(toxicity.examples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, index)
-    return scored.filter(F.col("toxicity.predicted") == 0).drop("toxicity")
+    to = free(docs, "toxicity")
+    return toxicity.score(docs, index, to=to).filter(F.col(to)["predicted"] == 0).drop(to)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ The store holds whole chunk bytes as keys (no hash can confuse two chunks) and d
 run again.
 
 Edge cases: a null text counts as empty (no tokens, hashes of the empty string); repeated rows each get a row; extra
-columns pass through, and clashing names are refused by Spark as for any duplicate column.
+columns pass through, and results take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewarden.llm.bpe import FIRST_STABLE, LAST_STABLE, default_path, vocabulary
+from gatewarden.llm.common import others as kept
 from gatewarden.llm.common import table
 
 #: Chunks have MIN to MAX bytes, MIN + 2 ** AVERAGE_BITS on average; the hash sees the last 32.
@@ -164,7 +165,7 @@ def _results(codec: ChunkCodec, text: str | None, outputs: tuple[str, ...]) -> l
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """``docs`` without ``text``, with the columns named in ``outputs`` (see ``OUTPUTS``) for each row's whole text."""
     path = path or default_path()
-    others = [f for f in docs.schema.fields if f.name != text]
+    others = kept(docs, text, *outputs)
     schema = T.StructType(others + [T.StructField(n, T._parse_datatype_string(OUTPUTS[n][0])) for n in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", to: st
         own = codec(path)
         return column.map(lambda x: None if x is None else own.decode([int(i) for i in x]))
 
-    return encoded.withColumn(to, text_of(F.col(ids)))
+    return encoded.withColumn(to, text_of(F.col(f"`{ids}`")))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

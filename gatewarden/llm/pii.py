@@ -8,7 +8,7 @@ different ones, and who holds the key can invert them.
 
 Edge cases: a null text stays null with no findings; texts without findings are returned unchanged; values that fail
 validation are left alone; overlapping findings resolve to the leftmost, then the earlier kind; repeated rows each get
-a row; extra columns pass through.
+a row; extra columns pass through, but for one with the result's name, whose place it takes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewarden.llm.common import fresh, table
+from gatewarden.llm.common import others as kept
+from gatewarden.llm.common import table
 
 ROUNDS = 8
 #: Of a demonstration; in production the key comes from a secret store.
@@ -260,12 +261,11 @@ def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
 def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", to: str | None = "pii") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and, unless ``to`` is None, an array of what was replaced: kind, start, end
     (code points of the text as it was)."""
-    names = docs.columns
+    fields = kept(docs, *([to] if to is not None else []))
+    names = [f.name for f in fields]
     at = names.index(text)
-    fields = list(docs.schema.fields)
+    docs = docs.select(*[F.col(f"`{n}`") for n in names])
     if to is not None:
-        _, given = fresh(docs, pii=F.lit(0))
-        to = to if to.lower() not in {c.lower() for c in names} else given["pii"]
         fields.append(T.StructField(to, T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>")))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -5,7 +5,8 @@ from labelled rows, ``DecisionList.column`` is that list as one conditional expr
 
 Edge cases: a null or empty text has no words and all counts zero; ties between equally good literals go to the first
 feature in name order, then the lower threshold; repeated rows count as often as they occur; with no labelled rows, or
-labels of one kind only, the list is empty and accepts everything; extra columns are left alone.
+labels of one kind only, the list is empty and accepts everything; extra columns are left alone, but
+for one with the result's name, whose place it takes.
 """
 
 from __future__ import annotations
@@ -227,15 +228,15 @@ def fit(labelled: DataFrame, label: str = "reject", text: str = "text") -> Decis
     return DecisionList(tuple(rules))
 
 
-def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality``: a struct of the statistics, base_failed, the number of the rule that rejects, kept."""
-    docs, at = fresh(docs, s=statistics(F.col(text)))
+def judge(docs: DataFrame, rules: DecisionList, text: str = "text", to: str = "quality") -> DataFrame:
+    """``docs`` with ``to``: a struct of the statistics, base_failed, the number of the rule that rejects, kept."""
+    docs, at = fresh(docs, s=statistics(F.col(f"`{text}`")))
     s = F.col(at["s"])
     failed = base_failed(s)
     number = rules.rule_number(features(s))
     parts = [s[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")]
     verdict = F.struct(*parts, failed.alias("base_failed"), number.alias("rule"), (~failed & number.isNull()).alias("kept"))
-    return docs.withColumn("quality", verdict).drop(at["s"])
+    return docs.withColumn(to, verdict).drop(at["s"])
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -7,7 +7,8 @@ All of it, training included, is DataFrame operations.
 
 Edge cases: a null or empty text has no spans (counts 0, the hash of the empty string, an empty list); equal spans of
 repeated rows are reported with each row; samples that are null, short or hold no known pair of characters teach nothing;
-with no samples of either kind the models find nothing and base spans stay; extra columns pass through.
+with no samples of either kind the models find nothing and base spans stay; extra columns pass through, but for one with the
+result's name, whose place it takes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.llm.common import fresh, let, table
+from gatewarden.llm.common import let, table
 
 #: Patterns in Java's syntax; (?i:...) there knows A-Z only.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -147,9 +148,9 @@ def ordinary_samples(documents: DataFrame, most: int = MAX_DOCUMENTS) -> DataFra
     return documents.select(F.explode(values).alias("value"), F.lit(0).alias("label"))
 
 
-def scanned(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: spans (start, end, k, kind, value) in order, base ones and those of the models."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def scanned(docs: DataFrame, models: Models, text: str = "text", to: str = "secrets") -> DataFrame:
+    """``docs`` with ``to``: spans (start, end, k, kind, value) in order, base ones and those of the models."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def with_models(base: Column) -> Column:
         if not models.ratio:
@@ -158,9 +159,7 @@ def scanned(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
         free = F.filter(runs, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
         return F.sort_array(F.concat(base, free))
 
-    docs, at = fresh(docs, spans=let(base_spans(whole), with_models))
-    to = "secrets" if "secrets" not in {c.lower() for c in docs.columns} else at["spans"]
-    return docs.withColumnRenamed(at["spans"], to)
+    return docs.withColumn(to, let(base_spans(whole), with_models))
 
 
 def redacted(text: Column, spans: Column) -> Column:

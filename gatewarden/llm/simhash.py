@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.llm.common import fresh, released, table, written
+from gatewarden.llm.common import fresh
+from gatewarden.llm.common import others as kept
+from gatewarden.llm.common import released, table, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a shard's tree, on average; fingerprints a bucket should hold, which decides the number of blocks.
@@ -60,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
     """``docs`` without ``text``, with the fingerprint as a signed 64-bit integer."""
     from pyspark.sql import types as T
 
-    others = [f for f in docs.schema.fields if f.name != text]
+    others = kept(docs, text, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,8 +243,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     narrow = keyed.select(F.col(at["id"]).alias("id"), F.col(at["row"]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     groups = rooted(written(fingerprints(narrow), "fps"))
     best = groups.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
-    kept = best.select(F.col("best.id").alias(at["id"]), F.col("best.row").alias(at["row"]))
-    return keyed.join(kept, pair, "left_semi").dropDuplicates(pair).drop(*pair)
+    stay = best.select(F.col("best.id").alias(at["id"]), F.col("best.row").alias(at["row"]))
+    return keyed.join(stay, pair, "left_semi").dropDuplicates(pair).drop(*pair)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ of the text is that of the pieces before plus one entry. Truncation and budget q
 
 The store of pieces is emptied when it holds ``STORE_PIECES``, which costs time, never results.
 
-Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; extra columns pass through.
+Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; extra columns pass
+through, and results take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewarden.llm.bpe import PATTERN, PIECE, default_path, vocabulary
+from gatewarden.llm.common import others as kept
 from gatewarden.llm.common import table
 
 STORE_PIECES, STORE_PAIRS, LONG_PIECE = 400_000, 1_000_000, 200
@@ -183,8 +185,8 @@ def count(docs: DataFrame, path: str | None = None, text: str = "text", to: str
     """``docs`` without ``text``, with the token count of each row's whole text and, if a budget is given, the characters
     of the longest prefix within it as ``fits_chars``."""
     path = path or default_path()
-    others = [f for f in docs.schema.fields if f.name != text]
     made = [T.StructField(to, T.LongType())] + [T.StructField("fits_chars", T.LongType())] * (budget is not None)
+    others = kept(docs, text, *[f.name for f in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)

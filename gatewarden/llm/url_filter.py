@@ -10,7 +10,8 @@ MAX_CONTEXTS contexts each (the most frequent), so what is broadcast is bounded;
 
 Edge cases: a null URL or one without "://" has empty host and path, fits no rule and is allowed (nothing is known
 against it), as is every URL no rule decides when either kind has no examples; of rules of equal length that fit, the
-first in the list wins; repeated rows each get a verdict; extra columns pass through.
+first in the list wins; repeated rows each get a verdict; extra columns pass through, but for one with
+the result's name, whose place it takes.
 """
 
 from __future__ import annotations
@@ -172,8 +173,8 @@ def examples(labelled: DataFrame, url: str = "url", most: int = MAX_EXAMPLES) ->
     return [u for _, u, _ in kinds], [r for _, _, r in kinds]
 
 
-def judged(pages: DataFrame, model: Filter, rules=RULES, url: str = "url") -> DataFrame:  # noqa: ANN001
-    """``pages`` with ``filter``: struct of host, path, rule, verdict and, where no rule decides, the probability of
+def judged(pages: DataFrame, model: Filter, rules=RULES, url: str = "url", to: str = "filter") -> DataFrame:  # noqa: ANN001
+    """``pages`` with ``to``: struct of host, path, rule, verdict and, where no rule decides, the probability of
     rejection."""
     rule, verdict = rule_of(host_of(F.col(url)), path_of(F.col(url)), rules)
     pages, at = fresh(pages, host=host_of(F.col(url)), path=path_of(F.col(url)), rule=rule, verdict=verdict, p=F.lit(None).cast("double"))
@@ -192,7 +193,7 @@ def judged(pages: DataFrame, model: Filter, rules=RULES, url: str = "url") -> Da
     p = F.col(at["p"])
     decided = F.coalesce(F.col(at["verdict"]), F.when(p >= CUT, "block").otherwise("allow"))
     parts = [F.col(at[k]).alias(k) for k in ("host", "path", "rule")]
-    return out.withColumn("filter", F.struct(*parts, decided.alias("verdict"), p.alias("rejection"))).drop(*at.values())
+    return out.withColumn(to, F.struct(*parts, decided.alias("verdict"), p.alias("rejection"))).drop(*at.values())
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
