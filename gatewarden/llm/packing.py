@@ -30,7 +30,7 @@ CAPACITIES = (2_048, 4_096, 8_192, 16_384)
 #: What a bin costs besides its length: the overhead of one more sequence.
 OPEN_COST = 64
 SHARD = 1_024
-RESULT = "doc_id bigint, copy bigint, piece bigint, piece_start bigint, piece_length bigint, bin string, capacity bigint, place bigint"
+RESULT = "doc_id bigint, doc_length bigint, copy bigint, piece bigint, piece_start bigint, piece_length bigint, bin string, capacity bigint, place bigint"
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, open_cost: int = OPEN_COST) -> tuple[list[int], list[int]]:
@@ -72,18 +72,18 @@ def _best_size(length: int, sizes: list[int], rising: list[int], left: int, open
 
 
 def _shard_rows(shard: int, rows: list[tuple], capacities: tuple[int, ...], open_cost: int) -> Iterator[tuple]:
-    """Rows (doc_id, copy, piece, start, length) of a shard with bin, capacity and place in the bin."""
-    rows.sort(key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[1], r[2]))
-    bins, sizes = pack([r[4] for r in rows], capacities, open_cost)
+    """Rows (doc_id, doc_length, copy, piece, start, length) of a shard with bin, capacity and place in the bin."""
+    rows.sort(key=lambda r: (-r[5], r[0] is None, r[0] or 0, *r[1:4]))
+    bins, sizes = pack([r[5] for r in rows], capacities, open_cost)
     places = [0] * len(sizes)
     for r, b in zip(rows, bins, strict=True):
         yield (*r, f"{shard}-{b}", sizes[b], places[b])
-        places[b] += r[4]
+        places[b] += r[5]
 
 
 def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_cost: int = OPEN_COST, shard: int = SHARD) -> DataFrame:
-    """Rows of RESULT for (doc_id, length). Equal rows are counted before they are numbered as copies, so ids that
-    repeat, null ones too, spread over the shards."""
+    """Rows of RESULT for (doc_id, length); a text is known by its id, its length and its number among equal rows. Equal
+    rows are counted before they are numbered as copies, so ids that repeat, null ones too, spread over the shards."""
     largest = max(capacities)
     rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length"))
     n = rows.count()
@@ -93,9 +93,9 @@ def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_co
     pieces_of = F.greatest(F.ceil(F.col("length") / largest), F.lit(1)).cast("long")
     pieces = copies.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces_of - 1)))
     start = F.col("piece") * largest
-    pieces = pieces.select("doc_id", "copy", "piece", start.alias("piece_start"), F.least(F.col("length") - start, F.lit(largest)).alias("piece_length"))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece", "piece_length"), F.lit(shards)))
-    names = ["doc_id", "copy", "piece", "piece_start", "piece_length", "bin", "capacity", "place"]
+    pieces = pieces.select("doc_id", F.col("length").alias("doc_length"), "copy", "piece", start.alias("piece_start"), F.least(F.col("length") - start, F.lit(largest)).alias("piece_length"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_length", "copy", "piece"), F.lit(shards)))
+    names = ["doc_id", "doc_length", "copy", "piece", "piece_start", "piece_length", "bin", "capacity", "place"]
     types = [pa.string() if c == "bin" else pa.int64() for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +114,8 @@ def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_co
         if own:
             yield made(list(_shard_rows(now, own, capacities, open_cost)))
 
-    filled = dealt.filter("piece_length > 0").select("shard", *names[:5]).repartition("shard").sortWithinPartitions("shard")
-    empty = pieces.filter("piece_length = 0").select(*names[:5], F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("capacity"), F.lit(None).cast("long").alias("place"))
+    filled = dealt.filter("piece_length > 0").select("shard", *names[:6]).repartition("shard").sortWithinPartitions("shard")
+    empty = pieces.filter("piece_length = 0").select(*names[:6], F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("capacity"), F.lit(None).cast("long").alias("place"))
     return filled.mapInArrow(run, RESULT).unionByName(empty)
 
 

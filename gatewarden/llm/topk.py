@@ -4,7 +4,8 @@ Queries are packed into tiles and candidates into shards, each one row with a ma
 - a stated query set against all rows, in blocks - by an equi-join on the tile's number. A product gives the scores of a
 block, partial selection its best per query, and lists are merged in two levels: first by (query, bucket of shards), then
 by query. Sums of products of integers are exact in floating point while below 2 ** 53 (2 ** 24 in single precision);
-the bound is checked against the largest component of each block, and beyond it Python's integers are used.
+the bound is checked against the largest component of each block, and beyond it Python's integers are used; scores that no
+long holds stay at its ends.
 
 Edge cases: rows whose id or vector is null, or that hold a null or non-finite component, take no part, nor do empty
 vectors; shorter vectors count as padded with zeros; a query with fewer candidates than k gets all; equal scores go to

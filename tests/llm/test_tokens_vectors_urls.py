@@ -68,7 +68,7 @@ def test_shared_passages_are_encoded_once(codec):
     own.encode("one start " + passage)
     before = own.misses
     own.encode("quite another beginning, " + passage + " and end")
-    assert own.hits >= 0.9 * before and own.misses - before <= 3
+    assert own.hits >= before - 2 and own.misses - before <= 3  # all but the first and last chunk
 
 
 def test_cuts_keep_characters_and_bounds():
@@ -127,7 +127,7 @@ def _brute(rows, queries, k=5):
     return out
 
 
-@pytest.mark.parametrize("top", [3, 2**14, 2**40])
+@pytest.mark.parametrize("top", [3, 2**14, 2**28])
 def test_topk_ties_and_sizes(frame, monkeypatch, top):
     monkeypatch.setattr(topk, "TILE", 4)
     monkeypatch.setattr(topk, "SHARD", 7)
@@ -139,6 +139,11 @@ def test_topk_ties_and_sizes(frame, monkeypatch, top):
     assert {q: [(r.vec_id, r.score) for r in got if r.query_id == q] for q in want} == want
 
 
+def test_products_beyond_a_long_stay_at_its_ends():
+    big = np.array([[2.0**40, 2.0**40]])
+    assert topk._product(big, np.array([[2.0**40, 2.0**40], [-(2.0**40), -(2.0**40)], [2.0**20, 1.0]])).tolist() == [[2**63 - 1, 1 - 2**63, 2**60 + 2**40]]
+
+
 def test_topk_edge_cases(frame):
     rows = frame([(0, [0.5, -0.1]), (50, [1.0, float("nan")]), (1, None), (2, [None, 1.0]), (None, [1.0, 1.0]), (3, [0.25]), (3, [0.25]), (4, []), (0, [0.5, -0.1])], "vec_id bigint, embedding array<float>")
     df = topk.integral(rows)
@@ -152,7 +157,7 @@ def _checked(rows, lengths, capacities):
     pieces = {}
     bins = {}
     for r in rows:
-        pieces.setdefault((r.doc_id, r.copy), []).append((r.piece_start, r.piece_length))
+        pieces.setdefault((r.doc_id, r.doc_length, r.copy), []).append((r.piece_start, r.piece_length))
         if r.bin is not None:
             bins.setdefault(r.bin, []).append(r)
     assert sorted((k[0] if k[0] is not None else -1, sum(n for _, n in v)) for k, v in pieces.items()) == sorted((d if d is not None else -1, n or 0) for d, n in lengths)
