@@ -132,6 +132,7 @@ def _links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
     for *now, is_query, fp, node in rows:
         if now != key:
             key, tree, forest = now, Tree(), _Forest()
+        fp &= (1 << BITS) - 1  # distances are counted on unsigned numbers
         for other in tree.within(fp):
             if forest.join(node, other):
                 yield node, other
