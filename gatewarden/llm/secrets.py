@@ -35,8 +35,9 @@ SYMBOLS = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 #: Documents that ordinary samples are taken from at most, by a hash of the id; random samples of each of three kinds.
 MAX_DOCUMENTS, RANDOM_SAMPLES = 200, 3_000
-#: Added to each count of a pair; share of ordinary samples that may pass the threshold; least threshold per pair.
-SMOOTHING, MAX_FALSE, MIN_MARGIN = 0.5, 0.0005, 0.25
+#: Added to each count of a character; weight of characters' own frequencies in those after another; share of ordinary
+#: samples that may pass the threshold; least threshold per pair.
+SMOOTHING, PRIOR, MAX_FALSE, MIN_MARGIN = 0.5, 8.0, 0.0005, 0.25
 
 
 def _matches(text: Column, pattern: str, kind: str, valid) -> Column:  # noqa: ANN001
@@ -105,9 +106,11 @@ def fit(samples: DataFrame) -> Models:
     if {y for y, _ in counts} != {0, 1}:
         return Models()
     logs = {}
+    symbols = range(SYMBOLS)
     for y in (0, 1):
-        for a in range(SYMBOLS):
-            own = [counts.get((y, a * SYMBOLS + b), 0) + SMOOTHING for b in range(SYMBOLS)]
+        ends = [sum(counts.get((y, a * SYMBOLS + b), 0) for a in symbols) + SMOOTHING for b in symbols]
+        for a in symbols:
+            own = [counts.get((y, a * SYMBOLS + b), 0) + PRIOR * ends[b] / sum(ends) for b in symbols]
             total = math.log(sum(own))
             logs.update({(y, a * SYMBOLS + b): math.log(c) - total for b, c in enumerate(own)})
     ratio = tuple(logs[1, k] - logs[0, k] for k in range(SYMBOLS * SYMBOLS))
