@@ -266,3 +266,33 @@ def lag_of(high: Column, committed: Column) -> Column:
 
 def row_hash(*columns: Column, separator: str = "\x1f") -> Column:
     return F.sha2(F.concat_ws(separator, *[text(c.cast("string")) for c in columns]), 256)
+
+
+def is_parameter_name(c: Column) -> Column:
+    return text(c).rlike(r"^[a-zA-Z0-9_.-]+$")
+
+
+def canonical_url(url: Column, host: str = "") -> Column:
+    """A path with a host before it and a slash between, escapes in upper case, the query sorted by its pieces, without
+    the fragment."""
+    whole = text(url)
+    rooted = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole)) if host else whole
+    placed = F.concat(F.lit(host.rstrip("/")), rooted)
+
+    def of(u: Column) -> Column:
+        query = F.array_join(F.array_sort(F.filter(F.split(u["query"], "&"), lambda x: x != "")), "&")
+        scheme = F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise("")
+        netloc = F.when(u["netloc"] != "", F.concat(F.lit("//"), F.lower(u["netloc"]))).otherwise("")
+        params = F.when(u["params"] != "", F.concat(F.lit(";"), u["params"])).otherwise("")
+        tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+        path = F.when((u["path"] == "") & (u["netloc"] != ""), "/").otherwise(u["path"])
+        return F.replace(F.concat(scheme, netloc, path, params, tail), F.lit(" "), F.lit("%20"))
+
+    return let(url_parts(placed), lambda u: let(of(u), escapes_upper))
+
+
+def escapes_upper(c: Column) -> Column:
+    """Hexadecimal digits of percent escapes in upper case."""
+    parts = F.split(c, "%", -1)
+    up = lambda p: F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substr(p, F.lit(3)))).otherwise(p)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(up(p))), "%")

@@ -110,3 +110,8 @@ def router_lags(offsets: DataFrame) -> DataFrame:
     lag = lag_of(F.col("high"), F.col("committed"))
     best = F.min(F.struct(lag.alias("lag"), "partition")).alias("b")
     return offsets.groupBy("topic").agg(best).select("topic", F.col("b.partition").alias("partition"), F.col("b.lag").alias("lag"))
+
+
+def shuffled(rows: DataFrame, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """Rows in an order that a seed decides, the same on every run: by a hash of the seed and the key columns."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *(keys or rows.columns)))

@@ -181,3 +181,14 @@ def test_forms(frame):
 
 def test_threshold_is_the_logarithm():
     assert math.isclose(math.log(0.1 / 0.9), -2.1972245773, abs_tol=1e-9)
+
+
+def test_canonical_url(value):
+    assert value(X.canonical_url(F.lit("a%2fb c?z=1&a=%c3#f"), "http://Host.example/")) == "http://host.example/a%2Fb%20c?a=%C3&z=1"
+    assert value(X.canonical_url(F.lit("/x;p?"), "http://h")) == "http://h/x;p"
+    assert value(X.canonical_url(F.lit("//H?b&a%"))) == "//h/?a%&b"
+
+
+def test_parameter_names(frame):
+    got = frame([("id",), ("a$b",), ("",), (None,)], "c string").select(X.is_parameter_name(F.col("c")).alias("v")).collect()
+    assert [r.v for r in got] == [True, False, False, False]

@@ -217,3 +217,8 @@ def test_inference(spark, frame):
     assert inference.one_stage(tasks, inference.echo_client, inference.hash_encoder, store).count() == 2
     assert inference.realtime_results(done).count() == 1
     assert inference.chat_template("Qwen2.5-7B") == "qwen" and inference.chat_template("x") == "plain"
+
+
+def test_shuffle_is_seeded(spark):
+    order = lambda seed, n: [r.id for r in dashboard.shuffled(spark.range(50).repartition(n), seed).collect()]
+    assert order(1, 2) == order(1, 5) != order(2, 2) and sorted(order(1, 2)) == list(range(50))
