@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.llm import packing, pii, quality_rules, simhash, toxicity
-from gatewarden.llm.common import free, table, written
+from gatewarden.llm.common import free, released, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Every stage in turn over ``documents``, each written as Parquet in the shared folder and read again; a stage's
+    table goes once the next one's is there."""
+    docs = source = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        made = written(stage(spark, docs, sf_dir), name)
+        if docs is not source:
+            released(docs)
+        docs = made
     return docs
