@@ -196,9 +196,11 @@ def fit(labelled: DataFrame, label: str = "reject", text: str = "text") -> Decis
     """
     labelled = labelled.filter(F.col(label).isin(0, 1))
     stats = labelled.select(F.col(label).cast("int").alias("y"), F.xxhash64(text).alias("key"), statistics(F.col(text)).alias("s"))
-    stats = stats.filter(~base_failed(F.col("s")))
-    rows = stats.select("y", (F.pmod("key", F.lit(3)) == 0).alias("prunes"), *[v.alias(k) for k, v in features(F.col("s")).items()])
-    rows = written(rows, "quality")
+    values = [v.alias(k) for k, v in features(F.col("s")).items()]
+    # Base failures are left out after the table is written: before, the filter and with it the statistics would be
+    # pushed below the join with the labels, to every document.
+    stats = written(stats.select("y", (F.pmod("key", F.lit(3)) == 0).alias("prunes"), base_failed(F.col("s")).alias("bad"), *values), "quality")
+    rows = stats.filter(~F.col("bad")).drop("bad")
     names = sorted(c for c in rows.columns if c not in ("y", "prunes"))
     values = {n: F.col(n) for n in names}
     grow, prune = rows.filter(~F.col("prunes")), rows.filter(F.col("prunes"))
@@ -224,7 +226,7 @@ def fit(labelled: DataFrame, label: str = "reject", text: str = "text") -> Decis
         if rule.covered and rule.rejected < MIN_PRECISION * rule.covered or not rule.covered:
             break
         rules.append(rule)
-    released(rows)
+    released(stats)
     return DecisionList(tuple(rules))
 
 
