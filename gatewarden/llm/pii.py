@@ -153,9 +153,13 @@ def _ip(value: str, key: bytes, inverse: bool) -> str | None:
     parts = value.split(".")
     if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts) or not 1 <= int(parts[0]) <= 223:
         return None
-    x, size = _ranked([(int(parts[0]) - 1, 223), *[(int(p), 256) for p in parts[1:]]])
-    a, *rest = _unranked(permute(x, size, key, "ip", inverse), [223, 256, 256, 256])
-    return ".".join(map(str, [a + 1, *rest]))
+    # Each octet keeps its number of digits, so the text keeps its length.
+    ranges = [{1: (0, 10), 2: (10, 90), 3: (100, 156)}[len(p)] for p in parts]
+    ranges[0] = {1: (1, 9), 2: (10, 90), 3: (100, 124)}[len(parts[0])]
+    x, size = _ranked([(int(p) - low, n) for p, (low, n) in zip(parts, ranges, strict=True)])
+    widths = "".join(str(len(p)) for p in parts)
+    new = _unranked(permute(x, size, key, f"ip{widths}", inverse), [n for _, n in ranges])
+    return ".".join(str(v + low) for v, (low, _) in zip(new, ranges, strict=True))
 
 
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()

@@ -131,7 +131,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
 
 
-VALUES = [("card", "4008562658712669"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (586) 555-8430"), ("ip", "49.242.246.194"), ("email", "eai.84@mail7.example.com"), ("date", "2024-02-29"), ("date", "1/2/1999"), ("date", "31.12.1999"), ("date", "12/31/1999"), ("ssn", "123-45-6789"), ("iban", "GB82 WEST 1234 5698 7654 32")]
+VALUES = [("card", "4008562658712669"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (586) 555-8430"), ("ip", "49.242.246.194"), ("ip", "1.2.3.4"), ("ip", "223.0.10.255"), ("email", "eai.84@mail7.example.com"), ("date", "2024-02-29"), ("date", "1/2/1999"), ("date", "31.12.1999"), ("date", "12/31/1999"), ("ssn", "123-45-6789"), ("iban", "GB82 WEST 1234 5698 7654 32")]
 
 
 @pytest.mark.parametrize(("kind", "value"), VALUES)
