@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewarden.llm import packing, pii, quality_rules, simhash, toxicity
+from gatewarden.llm import near_duplicates as near_duplicates_of
+from gatewarden.llm import packing, pii, quality_rules, toxicity
 from gatewarden.llm.common import free, released, table, written
 
 
@@ -24,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints."""
-    return simhash.deduplicated(docs)
+    """Keeps one document of each group of texts linked by a similarity of 0.8 or more over five-word shingles."""
+    return near_duplicates_of.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ kept, each with its component; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -237,13 +237,17 @@ def grouped(fps: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked fingerprints stays."""
+    return one_of_each(docs, lambda narrow: rooted(written(fingerprints(narrow), "fps")), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group stays: that with the smallest id, and of rows with the same id the one with the smallest
-    hash of all columns; of rows equal in every column, one. The choice is made on ids, hashes and fingerprints."""
+    hash of all columns; of rows equal in every column, one. ``groups_of`` gives (id, row, doc_id, text) its ``root``."""
     keyed, at = fresh(docs, row=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), id=F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)))
     pair = [at["id"], at["row"]]
     narrow = keyed.select(F.col(at["id"]).alias("id"), F.col(at["row"]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    groups = rooted(written(fingerprints(narrow), "fps"))
-    best = groups.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
+    best = groups_of(narrow).groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
     stay = best.select(F.col("best.id").alias(at["id"]), F.col("best.row").alias(at["row"]))
     return keyed.join(stay, pair, "left_semi").dropDuplicates(pair).drop(*pair)
 
