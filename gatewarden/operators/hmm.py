@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES, ITERATIONS, SYMBOLS, TOLERANCE, SEED = 4, 100, "ANS", 1e-2, 17
@@ -69,12 +69,11 @@ def baum_welch(shapes: list[str], counts: list[int], states: int = STATES, itera
     return start, trans, emit
 
 
-def fit_groups(shapes: DataFrame, keys: list[str], min_values: int, most: int, **options) -> DataFrame:  # noqa: ANN003
+def fit_groups(shapes: DataFrame, keys: list[str], min_values: int, **options) -> DataFrame:  # noqa: ANN003
     """A model for each group of (keys..., shape, n) with enough values in all. A group in memory is its distinct shapes,
-    at most ``most`` of them (the most frequent, ranked before the shuffle)."""
+    all of them."""
     sizes = shapes.groupBy(*keys).agg(F.sum("n").alias("total")).filter(F.col("total") >= min_values)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "shape"))
-    rows = shapes.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r").join(sizes, keys)
+    rows = shapes.join(sizes, keys)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shape")

@@ -60,15 +60,14 @@ def parameters(identified: DataFrame, json: bool = False) -> DataFrame:
     return identified.withColumn("_p", F.explode(pairs)).select(*identified.columns, F.col("_p.key").alias("param"), F.col("_p.value").alias("value"))
 
 
-def train(requests: DataFrame, min_values: int = MIN_VALUES, most_values: int = 10_000, **options) -> DataFrame:  # noqa: ANN003
+def train(requests: DataFrame, min_values: int = MIN_VALUES, **options) -> DataFrame:  # noqa: ANN003
     """Models (identifier, param, ...) from requests labelled 0, for parameters with enough values.
 
-    Distinct shapes with their counts are what a model needs, so a parameter of very many values is a small group; of
-    over ``most_values`` distinct shapes, the most frequent train it.
+    Distinct shapes with their counts are what a model needs; all of a parameter's train it.
     """
     rows = parameters(identified(requests.filter(F.col("label") == 0))).select("identifier", "param", value_shape(F.col("value")).alias("shape"))
     shapes = rows.groupBy("identifier", "param", "shape").agg(F.count("*").alias("n"))
-    return fit_groups(shapes, ["identifier", "param"], min_values, most_values, **options)
+    return fit_groups(shapes, ["identifier", "param"], min_values, **options)
 
 
 def scored(requests: DataFrame, models: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ def hmm_anomaly_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = page_requests(spark, sf_dir).withColumns({"method": F.lit("GET"), "label": (F.col("id") % 11 == 0).cast("int")})
     # Hosts' pages all differ in path, so the path is cut to the language folder to give structures of many requests.
     rows = rows.withColumn("url", F.regexp_replace("url", r"(://[^/]*/[a-z]*)/[^?#]*", "$1"))
-    models = structure.train(rows, iterations=20)
+    models = structure.train(rows)
     found = structure.detect(rows, models)
     return found.groupBy("identifier", "verdict").agg(F.count("*").alias("n"))
 
