@@ -43,6 +43,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         if any(re.search(f"[{WHITE}{MARKS}]", s) for s in self.special):
             raise ValueError(f"{path}: special tokens with white space or {MARKS}")
+        if any(a != b and a in b or any(a.endswith(b[:k]) for k in range(1, len(b))) for a in self.special for b in self.special):
+            raise ValueError(f"{path}: special tokens that overlap")
         self.ids = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
 

@@ -2,11 +2,12 @@
 
 Spans are found with split and regexp_extract_all: what lies between matches and the matches themselves give every
 place. Candidates of the models are runs of CANDIDATE characters outside base spans; a run is a secret if its first-order
-Markov log-likelihood as a random string, less that as an identifier, exceeds a threshold learned from labelled samples.
+Markov log-likelihood as a random string, less that as an identifier, exceeds a threshold learned from labelled samples:
+generated random strings, and generated numbers and the words of all documents with identifiers made of them.
 All of it, training included, is DataFrame operations.
 
-Edge cases: a null or empty text has no spans (counts 0, the hash of the empty string, an empty list); equal spans of
-repeated rows are reported with each row; samples that are null, short or hold no known pair of characters teach nothing;
+Edge cases: a null or empty text has no spans (counts 0, the hash of the empty string, an empty list); a text of n matches
+costs n log n, however long; an empty table gives an empty result; equal spans of repeated rows are reported with each row; samples that are null, short or hold no known pair of characters teach nothing;
 with no samples of either kind the models find nothing and base spans stay; extra columns pass through, but for one with the
 result's name, whose place it takes.
 """
@@ -14,12 +15,13 @@ result's name, whose place it takes.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.llm.common import let, table
+from gatewarden.llm.common import SEPARATOR, let, table, written
 
 #: Patterns in Java's syntax; (?i:...) there knows A-Z only.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,32 +35,58 @@ CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{{{MIN_RUN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/=-"
 SYMBOLS = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
-#: Documents that ordinary samples are taken from at most, by a hash of the id; random samples of each of three kinds.
-MAX_DOCUMENTS, RANDOM_SAMPLES = 200, 3_000
+#: Random samples of each of four kinds; least occurrences of an ordinary word; words that identifiers are joined among.
+RANDOM_SAMPLES, MIN_USES, IDENTIFIERS = 3_000, 2, 64
 #: Added to each count of a character; weight of characters' own frequencies in those after another; share of ordinary
 #: samples that may pass the threshold; least threshold per pair.
 SMOOTHING, PRIOR, MAX_FALSE, MIN_MARGIN = 0.5, 8.0, 0.0005, 0.25
 
 
-def _matches(text: Column, pattern: str, kind: str, valid) -> Column:  # noqa: ANN001
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Of an array, the values joined from the first to each: in rounds that double the reach, so that the work is
+    n log n (an array grown element by element is copied each time)."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1
+
+    def doubled(state: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(state, lambda x, i: F.when(i >= back, join(F.get(state, i - back), x)).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), rounds), values, doubled)
+
+
+def _matches(text: Column, pattern: str, kind: str, valid: Callable[[Column], Column]) -> Column:
     """Spans (start, end, kind number, kind, value) of the leftmost matches that ``valid`` accepts."""
     none = F.array().cast("array<struct<start:int,end:int,k:int,kind:string,value:string>>")
 
     def located(found: Column, gaps: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        ends = running(F.transform(found, lambda x, i: F.length(gaps[i]) + F.length(x)), lambda a, b: a + b)
 
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(gaps[i])
-            end = start + F.length(found[i])
-            span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), found[i].alias("value"))
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        def span(value: Column, end: Column) -> Column:
+            return F.struct((end - F.length(value)).alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), value.alias("value"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda s: F.filter(s["spans"], lambda x: valid(x["value"])))
+        return F.filter(F.zip_with(found, ends, span), lambda x: valid(x["value"]))
 
     spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda gaps: located(found, gaps)))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def _apart(runs: Column, base: Column) -> Column:
+    """``runs`` that overlap no span of ``base``: none that starts before a run ends beyond its start, and none that starts
+    at or after it starts before its end. Both are read off one sorted list."""
+    latest = 2**31 - 1
+
+    def of(both: Column) -> Column:
+        is_base = lambda x: x["kind"] != "markov"
+        ends = running(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(latest))), F.least))
+        placed = F.arrays_zip(both.alias("x"), ends.alias("before"), starts.alias("after"))
+        free = F.filter(placed, lambda p: ~is_base(p["x"]) & (p["before"] <= p["x"]["start"]) & (p["after"] >= p["x"]["end"]))
+        return F.transform(free, lambda p: p["x"])
+
+    some = (F.size(runs) > 0) & (F.size(base) > 0)
+    return F.when(some, let(F.sort_array(F.concat(runs, base)), of)).otherwise(runs)
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the base patterns in order of start, then kind."""
     whole = F.coalesce(text, F.lit(""))
@@ -131,24 +159,34 @@ def random_samples(spark, n: int = RANDOM_SAMPLES) -> DataFrame:  # noqa: ANN001
     return spark.range(n).select(F.explode(F.transform(values, lambda v: F.substr(v, F.lit(1), size))).alias("value"), F.lit(1).alias("label"))
 
 
-def ordinary_samples(documents: DataFrame, most: int = MAX_DOCUMENTS) -> DataFrame:
-    """Words, and identifiers made of neighbouring words, of about ``most`` documents with the smallest hash of the id;
-    words inside base spans are no samples."""
-    n = documents.count()
-    if n > most:
-        documents = documents.filter(F.xxhash64("doc_id") < int(2**63 * (2 * most / n - 1)))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    for pattern in (ASSIGN, ACCESS, HEX):
-        text = F.regexp_replace(text, pattern, " ")
-    w = F.filter(F.split(text, r"[^A-Za-z]+"), lambda x: F.length(x) > 2)
-    made = lambda ws: F.flatten(
-        F.transform(
+def number_samples(spark, n: int = RANDOM_SAMPLES) -> DataFrame:  # noqa: ANN001
+    """Numbers of 6 to 30 digits, which are ordinary; the same on every run."""
+    digits = F.concat(*[F.abs(F.xxhash64("id", F.lit(k)) % 10**15).cast("string") for k in range(3)])
+    return spark.range(n).select(F.substr(digits, F.lit(1), (F.pmod(F.xxhash64("id"), F.lit(25)) + 6).cast("int")).alias("value"), F.lit(0).alias("label"))
+
+
+def ordinary_samples(documents: DataFrame, text: str = "text", least: int = MIN_USES) -> DataFrame:
+    """The distinct words of all documents that occur ``least`` times at least, and identifiers made of them: words are
+    grouped by a hash, about IDENTIFIERS a group, and each is joined with the two after it in the styles of identifiers.
+
+    A word is letters between white space, with marks around it at most, so that pieces of random strings are none.
+    Occurrences are counted before anything is sent; what is sent grows with the vocabulary.
+    """
+    tokens = documents.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SEPARATOR)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    word = F.regexp_extract("token", r"^[^A-Za-z0-9_+/=-]*([A-Za-z]{3,})[^A-Za-z0-9_+/=-]*$", 1)
+    words = tokens.select(word.alias("word"), "n").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    words = written(words.select("word"), "words")
+    groups = max(1, words.count() // IDENTIFIERS)
+    near = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list("word")).alias("ws"))
+
+    def styles(ws: Column) -> Column:
+        joined = F.transform(
             F.slice(ws, 1, F.size(ws) - 2),
-            lambda x, i: F.array(x, F.concat_ws("_", x, ws[i + 1], ws[i + 2]), F.concat_ws("-", F.lower(x), F.lower(ws[i + 1]), ws[i + 2]), F.concat(F.lower(x), F.initcap(ws[i + 1]), F.initcap(ws[i + 2]))),
+            lambda x, i: F.array(F.concat_ws("_", x, ws[i + 1], ws[i + 2]), F.concat_ws("-", F.lower(x), F.lower(ws[i + 1]), ws[i + 2]), F.concat(F.lower(x), F.initcap(ws[i + 1]), F.initcap(ws[i + 2]))),
         )
-    )
-    values = let(w, lambda ws: F.when(F.size(ws) > 2, made(ws)).otherwise(ws))
-    return documents.select(F.explode(values).alias("value"), F.lit(0).alias("label"))
+        return F.concat(ws, F.when(F.size(ws) > 2, F.flatten(joined)).otherwise(F.array().cast("array<string>")))
+
+    return near.select(F.explode(styles(F.col("ws"))).alias("value"), F.lit(0).alias("label"))
 
 
 def scanned(docs: DataFrame, models: Models, text: str = "text", to: str = "secrets") -> DataFrame:
@@ -159,8 +197,7 @@ def scanned(docs: DataFrame, models: Models, text: str = "text", to: str = "secr
         if not models.ratio:
             return base
         runs = _matches(whole, CANDIDATE, "markov", lambda v: models.score(v) > models.threshold)
-        free = F.filter(runs, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-        return F.sort_array(F.concat(base, free))
+        return F.sort_array(F.concat(base, let(runs, lambda r: _apart(r, base))))
 
     return docs.withColumn(to, let(base_spans(whole), with_models))
 
@@ -187,7 +224,7 @@ def listed(spans: Column) -> Column:
 
 def op5(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = fit(random_samples(spark).union(ordinary_samples(docs)))
+    models = fit(random_samples(spark).union(number_samples(spark)).union(ordinary_samples(docs)))
     out = scanned(docs, models)
 
     def digest(spans: Column) -> Column:

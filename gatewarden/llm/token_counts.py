@@ -10,8 +10,9 @@ of the text is that of the pieces before plus one entry. Truncation and budget q
 
 The store of pieces is emptied when it holds ``STORE_PIECES``, which costs time, never results.
 
-Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; extra columns pass
-through, and results take the place of columns with their names.
+Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; very long texts, runs of white
+space, words and sequences of special strings cost in proportion to their length; an empty table gives an empty
+result; extra columns pass through, and results take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewarden.llm.bpe import PATTERN, PIECE, default_path, vocabulary
+from gatewarden.llm.bpe import PATTERN, PIECE, WHITE, default_path, vocabulary
 from gatewarden.llm.common import others as kept
 from gatewarden.llm.common import table
 
-STORE_PIECES, STORE_PAIRS, LONG_PIECE = 400_000, 1_000_000, 200
+#: Entries that the stores hold at most, and the longest piece that is kept in one.
+STORE_PIECES, STORE_PAIRS, KEPT_PIECE = 400_000, 1_000_000, 200
 LIMIT = 1024
+BLANK = re.compile(f"^[{WHITE}]+")
 #: Characters outside Latin, Greek, Cyrillic and general punctuation.
 UNSURE = re.compile("[^\x00-\u052f\u2000-\u2064]")
 
@@ -46,7 +49,9 @@ class PrefixCounter:
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.pattern = regex.compile(PATTERN)
         self.merged = self.vocabulary.encoding()._encode_single_piece  # the encoder on the bytes of one pre-token
-        self.special = sorted(self.vocabulary.special)
+        special = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.contractions = {"'re", "'ve", "'ll"}
         self.ends = ahocorasick.Automaton()
         for b, i in self.vocabulary.ids.items():
             if self.merged(b) == [i]:  # others are never what the encoder makes of their own bytes
@@ -84,72 +89,61 @@ class PrefixCounter:
                 counts[end + 1], last[end + 1], done = counts[start] + 1, token, end
         return counts
 
-    def _plain(self, text: str) -> int:
-        """Count of a text without special strings."""
-        return sum(self._pre_token(text[a:b].encode().decode("latin-1"))[-1] for a, b in self.pre_tokens(text))
+    def _counts(self, part: str) -> list[int]:
+        """Counts of each prefix of a pre-token by characters, from 1 on."""
+        data = part.encode()
+        counts = self._pre_token(data.decode("latin-1"))
+        return counts[1:] if len(data) == len(part) else [counts[k] for k in accumulate(len(c.encode()) for c in part)]
 
-    def _total(self, text: str) -> int:
-        """Count of a text, special strings in it being one token each."""
-        at, special = min(((k, s) for s in self.special if (k := text.find(s)) >= 0), default=(-1, ""), key=lambda x: (x[0], -len(x[1])))
-        if at < 0:
-            return self._plain(text)
-        return self._plain(text[:at]) + 1 + self._total(text[at + len(special) :])
+    def _run(self, text: str) -> list[int]:
+        """Counts of each prefix by characters, from the empty one on, of white space followed by other characters, read
+        as a text of its own without special strings.
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Counts of each prefix of a piece by characters, from the empty one on.
-
-        A prefix may split into other pre-tokens than the whole (white space, contractions, special strings); those
-        pieces in which it does are counted prefix by prefix, the rest in one pass.
+        A prefix that ends within the white space is one pre-token. Behind it, the last white-space character begins the
+        next pre-token or stands alone, and pre-tokens of a prefix are those of the whole, the last one cut - but for
+        the first two of a contraction's three characters, which are two pre-tokens.
         """
+        white = len(text) - len(BLANK.sub("", text, count=1))
+        out = [0, *(self._counts(text[:white]) if white else [])]
+        if white == len(text):
+            return out
+        at = max(white - 1, 0)
+        before = out[at]
+        for a, b in self.pre_tokens(text[at:]):
+            part = text[at + a : at + b]
+            counts = self._counts(part)
+            if part in self.contractions:
+                counts[1] = counts[0] + self._counts(part[1])[0]
+            out.extend([before + c for c in counts[(a == 0 and white > 0) :]])
+            before += counts[-1]
+        return out
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Counts of each prefix of a piece by characters, from the empty one on, in one pass: what stands before a special
+        string is a text of its own, and until that string ends its characters are ordinary ones."""
         letters = piece[1:] if piece[0] == " " else piece
         if letters.isalpha() and letters.isascii():
             return tuple(self._pre_token(piece))
-        spans = self.pre_tokens(piece)
-        simple = "'" not in piece and not any(s in piece for s in self.special) and (len(spans) < 2 or not piece[: spans[1][0]].isspace())
-        if not simple:
-            return tuple(self._total(piece[:k]) for k in range(len(piece) + 1))
-        out, before = [0], 0
-        for a, b in spans:
-            part = piece[a:b]
-            data = part.encode()
-            counts = self._pre_token(data.decode("latin-1"))
-            if len(data) == len(part):
-                out.extend([before + c for c in counts[1:]])
-            else:
-                out.extend([before + counts[k] for k in accumulate(len(c.encode()) for c in part)])
-            before += counts[-1]
+        out, before, at = [0], 0, 0
+        for m in self.special.finditer(piece) if self.special else ():
+            counts = self._run(piece[at : m.end() - 1])
+            out.extend([before + c for c in counts[1:]])
+            before += counts[m.start() - at] + 1
+            out.append(before)
+            at = m.end()
+        out.extend([before + c for c in self._run(piece[at:])[1:]])
         return tuple(out)
 
     def counts_of(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
-            found = self._piece(piece) if len(piece) <= LONG_PIECE or "'" not in piece else self._long(piece)
-            if len(piece) <= LONG_PIECE:
+            found = self._piece(piece)
+            if len(piece) <= KEPT_PIECE:
                 if len(self.pieces) >= STORE_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
-    def _long(self, piece: str) -> tuple[int, ...]:
-        """Of a long piece with apostrophes, the total only at the last place and exact counts where cuts are safe.
-
-        A pre-token border with three characters after it holds for the prefix too, so only the last few characters of
-        a prefix can differ; those are counted anew from the border before them.
-        """
-        borders = [a for a, _ in self.pre_tokens(piece)]
-        if any(s in piece for s in self.special):
-            return tuple(self._total(piece[:k]) for k in range(len(piece) + 1))
-        out, at, base = [0], 0, 0
-        totals = {0: 0}
-        for a, b in zip(borders, [*borders[1:], len(piece)], strict=True):
-            totals[b] = totals[a] + self._pre_token(piece[a:b].encode().decode("latin-1"))[-1]
-        for k in range(1, len(piece) + 1):
-            while at + 1 < len(borders) and borders[at + 1] <= k - 4:
-                at += 1
-            base = totals[borders[at]]
-            out.append(base + self._plain(piece[borders[at] : k]))
-        return tuple(out)
-
     def total(self, text: str | None) -> int:
         """Tokens of the whole text."""
         pieces, out = self.pieces, 0

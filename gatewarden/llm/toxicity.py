@@ -1,30 +1,36 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and, for words that vary, their beginnings of PREFIXES characters. Which terms count is learned from the labelled
-examples: those whose document counts differ between the labels beyond chance (log-likelihood ratio) and by a factor of
-MIN_LIFT at least, equal texts counted once. Examples and texts
-are TF-IDF vectors over these terms. The index keeps, for each term and block of BLOCK examples, the largest weight, and
-so a bound of the cosine that any example of a block can reach; blocks are opened from the highest bound down until no
-bound reaches the k-th best cosine found, so the K neighbours are exact. Their votes, weighted by closeness, are mapped
-to a probability by a logistic curve fitted to votes on the examples themselves, each left out of its own.
-
-The model is fitted on at most MAX_EXAMPLES labelled rows, those with the smallest hash of their id, and has at most
-MAX_TERMS terms, so what is broadcast is bounded however large the corpus is; every text is scored in whole.
-
-Edge cases: null and empty texts, and texts without any term of the model, have no neighbours and get the score of an
-empty vote; ties between equally close examples go to the one that stands first in the index (ordered by label, terms
-and id); repeated rows count as often as they occur; with no labelled rows, or labels of one kind, every score is that
-kind's share (0.0 without rows); extra columns pass through, but for one with
-the result's name, whose place it takes.
+Examples and texts are unit TF-IDF vectors over all their words; document frequencies are counted over all documents (words
+that no example holds count as unseen). A word's weight also grows with how far its count among label 1 is from chance: ``1 + (z / 2) ** 2``, at least 1,
+so that every word counts and those that tell the labels apart count more (plain TF-IDF finds half of the held-out
+toxic texts: see the README). No word is left out, whatever its label or frequency.
+
+Examples stand in blocks of BLOCK. Words that few examples hold have postings, words that many hold a column a block with its
+largest weight; together they bound the cosine that any example of a block can reach. The blocks with the highest
+bounds are opened first, then all whose bound reaches the k-th best cosine found there, so the K neighbours are exact. Their
+votes, weighted by closeness, are mapped to a probability by a logistic curve fitted to votes on the examples themselves,
+each left out of its own.
+
+At most MAX_EXAMPLES labelled rows teach, those with the smallest hash of id and text, so what is broadcast is bounded however
+large the corpus is; every text is scored in whole, in one pass over its words, however long.
+
+Edge cases: null and empty texts, and texts without any word of the examples, have no neighbours and get the score of an
+empty vote; ties between equally close examples go to the one that stands first in the index (ordered by label, frequent
+words and id); repeated rows count as often as they occur; with no labelled rows, or labels of one kind, every score is that
+kind's share (0.0 without rows); an empty table gives an empty result; extra columns pass through, but for one with the
+result's name, whose place it takes.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from hashlib import blake2b
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,128 +41,192 @@ from pyspark.sql import types as T
 from gatewarden.llm.common import others as kept_fields
 from gatewarden.llm.common import table
 
-MAX_EXAMPLES, MAX_TERMS, K, BLOCK = 10_000, 4_000, 15, 64
-PREFIXES = (3, 4, 5, 7)
-#: Blocks opened first; how many times as frequent a term must be with one label as with the other.
-FIRST, MIN_LIFT = 4, 3.0
-#: Least log-likelihood ratio (G) and documents of a term; closeness 1 weighs 1 / NEAR; weight of the empty vote.
-MIN_G, MIN_DOCS, NEAR, EMPTY = 18.0, 4, 0.1, 0.5
+MAX_EXAMPLES, K, BLOCK = 4_000, 15, 64
+#: Blocks opened first; a word is frequent if one example in SHARE holds it; texts looked up together; results a worker keeps.
+FIRST, SHARE, TOGETHER, KNOWN = 8, 25, 64, 50_000
+#: Closeness 1 weighs 1 / NEAR; weight of the empty vote.
+NEAR, EMPTY = 0.1, 0.5
 WORDS = re.compile(r"\w+")
 
+#: What sums in single precision may be off by.
+SLACK = 1e-5
 
-def terms_of(text: str | None) -> Counter:
-    """Counts of the terms of a whole text: lower-cased words, and beginnings of longer words marked by a star."""
-    found = Counter(WORDS.findall((text or "").lower()))
-    for w, n in list(found.items()):
-        for size in PREFIXES:
-            if len(w) > size:
-                found[w[:size] + "*"] += n
-    return found
+#: Terms, ascending, and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of runs one after another, and the runs' lengths."""
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size), size
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a whole text."""
+    return WORDS.findall((text or "").lower())
 
 
 @dataclass
 class Index:
-    """Unit vectors of examples, as postings by term and block."""
+    """Unit vectors of examples. Terms are numbered from the most frequent down; their postings (examples in order, and
+    weights) stand one after another."""
 
-    idf: dict[str, float] = field(default_factory=dict)
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    numbers: dict[str, int] = field(default_factory=dict)
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: For each term: example numbers in order, weights, where each block's postings start, largest weight a block.
-    postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Weight of a word that no document holds.
+    unseen: float = 1.0
     prior: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def vector(self, counts: Counter) -> dict[str, float]:
-        """The unit TF-IDF vector of a text over the model's terms; empty if it has none."""
-        raw = {t: (1 + math.log(counts[t])) * self.idf[t] for t in sorted(self.idf.keys() & counts.keys())}
-        length = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / length for t, x in raw.items()} if length else {}
-
-    def nearest(self, vector: dict[str, float], k: int = K) -> list[tuple[float, int]]:
-        """The k examples with the highest positive cosine, exactly; ties to the lower number.
-
-        The FIRST blocks with the highest bounds are opened; then, at once, all others whose bound reaches the k-th best
-        cosine found there.
-        """
-        if not vector:
-            return []
-        bounds = np.zeros(-(-len(self.labels) // BLOCK))
-        for t, q in vector.items():
-            bounds += q * self.postings[t][3]
-        order = np.argsort(-bounds, kind="stable")
-        opened = order[:FIRST][bounds[order[:FIRST]] > 0]
-        best = self._best(vector, opened, k)
-        reach = best[-1][0] - 1e-9 if len(best) == k else 0.0
-        rest = order[FIRST:][(bounds[order[FIRST:]] > 0) & (bounds[order[FIRST:]] >= reach)]
-        if len(rest):
-            best = sorted(best + self._best(vector, rest, k), key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def _best(self, vector: dict[str, float], blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best examples of some blocks."""
-        scores = np.zeros(len(self.labels))
-        for t, q in vector.items():
-            rows, weights, starts, _ = self.postings[t]
-            if 8 * len(blocks) > len(starts):
-                scores[rows] += q * weights
-            else:
-                for b in blocks:
-                    i, j = starts[b], starts[b + 1]
-                    scores[rows[i:j]] += q * weights[i:j]
-        inside = np.zeros(len(scores), bool) if 8 * len(blocks) <= len(scores) // BLOCK else None
-        if inside is None:
-            chosen = np.zeros(-(-len(scores) // BLOCK), bool)
-            chosen[blocks] = True
-            inside = np.repeat(chosen, BLOCK)[: len(scores)]
-        else:
-            for b in blocks:
-                inside[b * BLOCK : (b + 1) * BLOCK] = True
-        hits = np.flatnonzero(inside & (scores > 0))
-        values = np.round(scores[hits], 12)
-        top = np.lexsort((hits, -values))[:k]
-        return [(float(values[i]), int(hits[i])) for i in top]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """The share of label 1 among the neighbours by closeness, with an empty vote for the prior."""
-        weights = [1 / (NEAR + 1 - min(s, 1.0)) for s, _ in near]
-        yes = sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i])
-        return (yes + EMPTY * self.prior) / (sum(weights) + EMPTY)
-
-    def score(self, near: list[tuple[float, int]]) -> float:
+    @cached_property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.labels) // BLOCK))
+
+    @cached_property
+    def frequent(self) -> int:
+        """Terms below this number are frequent."""
+        return int(np.searchsorted(-np.diff(self.starts), -len(self.labels) / SHARE, side="right"))
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """Weights of frequent terms by block and example, in single precision."""
+        out = np.zeros((self.blocks * BLOCK, self.frequent), np.float32)
+        end = self.starts[self.frequent]
+        out[self.rows[:end], np.repeat(np.arange(self.frequent), np.diff(self.starts[: self.frequent + 1]))] = self.values[:end]
+        return out.reshape(self.blocks, BLOCK, -1)
+
+    @cached_property
+    def largest(self) -> np.ndarray:
+        """Largest weights of frequent terms by block."""
+        return self.columns.max(axis=1)
+
+    def vector(self, text: str | None) -> Vector:
+        """The unit vector of a text, of which the index's terms are given; its other words count in its length."""
+        words = words_of(text)
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        others = Counter(compress(words, (found < 0).tolist()))
+        terms, times = np.unique(found[found >= 0], return_counts=True)
+        weights = (1 + np.log(times)) * self.weight[terms]
+        rest = (1 + np.log(np.fromiter(others.values(), np.float64, len(others)))) * self.unseen
+        length = math.sqrt(float(weights @ weights + rest @ rest))
+        return terms, weights / (length or 1.0)
+
+    @cached_property
+    def _forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings by example: terms, weights, and where each example's begin."""
+        order = np.argsort(self.rows, kind="stable")
+        terms = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+        return terms[order], self.values[order], np.searchsorted(self.rows[order], np.arange(len(self.labels) + 1))
+
+    def example(self, number: int) -> Vector:
+        """An example's vector."""
+        terms, values, ends = self._forward
+        own = slice(ends[number], ends[number + 1])
+        return terms[own], values[own]
+
+    @cached_property
+    def _scratch(self) -> np.ndarray:
+        return np.zeros(len(self.weight))
+
+    def cosines(self, vector: Vector, numbers: np.ndarray) -> np.ndarray:
+        """Exact cosines of a vector with examples, each of which holds a term."""
+        terms, values, ends = self._forward
+        at, size = _runs(ends[numbers], ends[numbers + 1])
+        self._scratch[vector[0]] = vector[1]
+        out = np.add.reduceat(self._scratch[terms[at]] * values[at], np.cumsum(size) - size)
+        self._scratch[vector[0]] = 0.0
+        return np.round(out, 12)
+
+    def nearest(self, vectors: list[Vector], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples with the highest positive cosine, exactly: cosines and numbers, ties to the
+        lower number. ``but``: for each vector an example that doesn't count. Bounds and sums are in single precision, so
+        all that come within SLACK of the k-th best are computed anew."""
+        m, split, blocks = len(vectors), self.frequent, self.blocks
+        text = np.repeat(np.arange(m), [len(t) for t, _ in vectors])
+        terms, weights = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        often = terms < split
+        query = np.zeros((m, split), np.float32)
+        query[text[often], terms[often]] = weights[often]
+        at, size = _runs(self.starts[terms[~often]], self.starts[terms[~often] + 1])
+        place = np.repeat(text[~often] * (blocks * BLOCK), size) + self.rows[at]
+        scores = np.bincount(place, np.repeat(weights[~often], size) * self.values[at], m * blocks * BLOCK).astype(np.float64, copy=False).reshape(m, blocks, BLOCK)
+        bounds = scores.max(axis=2) + query @ self.largest.T
+
+        def opened(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(axis=0)):
+                own = np.flatnonzero(which[:, b])
+                scores[own, b] += query[own] @ self.columns[b].T
+
+        highest = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, highest, True, axis=1)
+        opened(first)
+        flat = scores.reshape(m, -1)
+        if but is not None:
+            flat[np.arange(m), but] = -1.0
+        seen = np.take_along_axis(scores, highest[:, :, None], axis=1).reshape(m, -1)
+        reach = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(m)
+        rest = (bounds > SLACK) & (bounds >= reach[:, None] - SLACK) & ~first
+        opened(rest)
+        scores[~(first | rest)] = 0.0
+        if but is not None:
+            flat[np.arange(m), but] = -1.0
+        out = []
+        for i, vector in enumerate(vectors):
+            hits = np.flatnonzero(flat[i] > max(reach[i] - SLACK, 0.0))
+            if len(hits) > k:
+                near = flat[i, hits]
+                hits = hits[near >= np.partition(near, -k)[-k] - SLACK]
+            values = self.cosines(vector, hits) if len(hits) else np.zeros(0)
+            top = np.argsort(-values, kind="stable")[:k]
+            top = top[values[top] > 0]
+            out.append((values[top], hits[top]))
+        return out
+
+    def vote(self, cosines: np.ndarray, numbers: np.ndarray) -> float:
+        """The share of label 1 among the neighbours by closeness, with an empty vote for the prior; where fewer than K are
+        near, the prior takes the places left, at closeness 0."""
+        weights = 1 / (NEAR + 1 - np.minimum(cosines, 1.0))
+        empty = EMPTY + (K - len(numbers)) / (NEAR + 1)
+        return (float(weights @ self.labels[numbers]) + empty * self.prior) / (float(weights.sum()) + empty)
+
+    def score(self, vote: float) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * self.vote(near) + b)))) if a else self.prior
-
-
-def _built(rows: list[tuple[int, int, dict[str, int]]], of_terms: dict[str, int], n: int) -> Index:
-    """The index over (id, label, counts); of_terms: documents that hold each term, of n."""
-    out = Index(idf={t: math.log((1 + n) / (1 + df)) + 1 for t, df in of_terms.items()})
-    rows = sorted(rows, key=lambda r: (-r[1], sorted(r[2]), r[0]))
-    out.labels = np.array([r[1] for r in rows], dtype=np.int8)
-    out.ids = np.array([r[0] for r in rows], dtype=np.int64)
-    out.prior = float(out.labels.mean()) if rows else 0.0
-    vectors = [out.vector(Counter(r[2])) for r in rows]
-    by_term: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    for i, v in enumerate(vectors):
-        for t, w in v.items():
-            by_term[t].append((i, w))
-    blocks = -(-len(rows) // BLOCK)
-    for t in out.idf:
-        own = by_term.get(t, [])
-        numbers = np.array([i for i, _ in own], dtype=np.int64)
-        weights = np.array([w for _, w in own])
-        starts = np.searchsorted(numbers, np.arange(blocks + 1) * BLOCK)
-        largest = np.zeros(blocks)
-        np.maximum.at(largest, numbers // BLOCK, weights)
-        out.postings[t] = numbers, weights, starts, largest
-    if 0 < out.prior < 1:
-        known: dict[tuple, list[tuple[float, int]]] = {}
-        votes = []
-        for i, v in enumerate(vectors):
-            key = tuple(v.items())
-            if key not in known:
-                known[key] = out.nearest(v, K + 1)
-            votes.append(out.vote([x for x in known[key] if x[1] != i][:K]))
-        out.curve = _logistic(votes, out.labels.tolist())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * vote + b)))) if a else self.prior
+
+
+def built(ids: np.ndarray, labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], terms: list[str], frequencies: np.ndarray, n: int, once: np.ndarray) -> Index:
+    """The index over examples, given by numbers and counts of ``terms``; frequencies: documents that hold each, of ``n``;
+    ``once``: the examples that words' weights are learned from."""
+    sizes = [len(t) for t, _ in counts]
+    row, term = np.repeat(np.arange(len(ids)), sizes), np.concatenate([t for t, _ in counts])
+    value = 1 + np.log(np.concatenate([c for _, c in counts]).astype(float))
+    # Of a word's examples, how many have label 1, against chance.
+    held = np.bincount(term[once[row]], minlength=len(terms))
+    yes = np.bincount(term[once[row] & (labels[row] == 1)], minlength=len(terms))
+    share = labels[once].mean()
+    z = (yes - held * share) / np.sqrt(held * share * (1 - share) + 1)
+    weight = np.log((n + 2) / (frequencies + 1)) * (1 + (z / 2) ** 2)
+    value = value * weight[term]
+    length = np.sqrt(np.bincount(row, value * value, len(ids)))
+    value = value / np.where(length > 0, length, 1.0)[row]
+    # Numbers from the most frequent term down; examples by label and frequent words, so that blocks hold like ones.
+    by_size = np.lexsort((np.arange(len(terms)), -np.bincount(term, minlength=len(terms))))
+    number = np.argsort(by_size)
+    marks = np.zeros((len(ids), 64), np.uint8)
+    common = number[term] < 64
+    marks[row[common], number[term[common]]] = 1
+    like = np.packbits(marks, axis=1).view(">u8")[:, 0]
+    place = np.argsort(np.lexsort((ids, like, -labels)))
+    order = np.lexsort((place[row], number[term]))
+    out = Index(dict(zip(terms, number.tolist(), strict=True)), weight[by_size], rows=place[row][order].astype(np.int32), values=value[order], unseen=math.log(n + 2), prior=float(labels.mean()))
+    out.starts = np.searchsorted(number[term][order], np.arange(len(terms) + 1))
+    out.labels, out.ids = (x[np.argsort(place)] for x in (labels, ids))
     return out
 
 
@@ -178,60 +248,107 @@ def _logistic(x: list[float], y: list[int]) -> tuple[float, float]:
     return max(float(a), 1e-6), float(b)
 
 
-def _with_terms(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(id, y, terms, counts) of labelled texts: all terms, or those wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [terms_of(x.as_py()) for x in batch.column(2)]
-            if wanted is not None:
-                own = [{t: c[t] for t in wanted & c.keys()} for c in own]
-            terms = pa.array([list(c) for c in own], pa.list_(pa.string()))
-            counts = pa.array([list(c.values()) for c in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, counts], names=["id", "y", "terms", "counts"])
-
-    return docs.mapInArrow(run, "id bigint, y int, terms array<string>, counts array<bigint>")
+def held_out(doc_id):  # noqa: ANN001, ANN201
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def examples(documents: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    """(id, y, text) of labelled documents, held-out ones excluded, at most about ``most`` by a hash of the id."""
-    marks = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    """(id, y, text) of labelled documents, held-out ones excluded: at most ``most`` rows, those with the smallest hash of
+    id and text."""
+    marks = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     total = marks.count()
-    if total > most:
-        marks = marks.filter(F.xxhash64("doc_id") < int(2**63 * (2 * most / total - 1)))
-    docs = documents.select(F.col("doc_id"), "text")
-    return docs.join(F.broadcast(marks), "doc_id").select(F.col("doc_id").cast("long").alias("id"), "y", "text")
+    if total > most:  # half as many again, as not every label has a document
+        marks = marks.filter(F.xxhash64("doc_id") < int(2**63 * min(1.0, 3 * most / total - 1)))
+    # Hashes of distinct ids can't crowd; still, only a side that was counted small is broadcast.
+    marks = F.broadcast(marks) if total <= most or marks.count() <= 2 * most else marks
+    rows = documents.select("doc_id", "text").join(marks, "doc_id").select(F.col("doc_id").cast("long").alias("id"), "y", "text")
+    mixed = F.xxhash64("id", "text")
+    # The limit leaves one partition, which is dealt out again for what follows.
+    return rows.orderBy(F.xxhash64("id"), mixed, "y").limit(most).repartition(max(1, most // 128), mixed)
 
 
-def held_out(doc_id):  # noqa: ANN001, ANN201
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]:
+    """Of (id, y, text): ids, labels, each text's term numbers and counts, the terms, and the first rows of equal texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [Counter(words_of(x.as_py())) for x in batch.column(2)]
+            marks = [int.from_bytes(blake2b((x.as_py() or "").encode(), digest_size=8).digest(), "big", signed=True) for x in batch.column(2)]
+            terms, counts = pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), terms, counts], names=["id", "y", "mark", "terms", "counts"])
+
+    found = rows.mapInArrow(run, "id bigint, y int, mark bigint, terms array<string>, counts array<bigint>").toArrow().combine_chunks()
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int8), [], [], np.zeros(0, bool)
+    found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("mark", "ascending")]).combine_chunks()
+    ids = found["id"].fill_null(-1).to_numpy().astype(np.int64)
+    labels = found["y"].to_numpy().astype(np.int8)
+    lists, counts = (found[c].combine_chunks() for c in ("terms", "counts"))
+    coded = lists.flatten().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names = coded.dictionary.to_pylist()
+    order = np.argsort(np.array(names, object), kind="stable") if names else np.zeros(0, np.int64)
+    number = np.argsort(order)
+    codes = number[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    ends = np.cumsum([0, *[len(x) if x is not None else 0 for x in lists.to_pylist()]]) if names else np.zeros(len(ids) + 1, np.int64)
+    times = counts.flatten().to_numpy()
+    per_text = [(codes[a:b], times[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    pairs = np.stack([found["mark"].to_numpy(), labels.astype(np.int64)], axis=1)
+    once = np.zeros(len(ids), bool)
+    once[np.unique(pairs, axis=0, return_index=True)[1]] = True
+    return ids, labels, per_text, [names[i] for i in order], once
+
+
+def frequencies(documents: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term, and the number of documents."""
+    spark = documents.sparkSession
+    size, shared = len(terms), spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, out, n = shared.value, np.zeros(size, np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for x in batch.column(0):
+                words = words_of(x.as_py())
+                held = np.unique(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)))
+                out[held[held >= 0]] += 1
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *out[at]], pa.int64())], names=["term", "n"])
 
-def fit(rows: DataFrame) -> Index:
-    """The index over (id, y, text). Term statistics are counted on the executors; the driver gets MAX_TERMS terms and
-    the examples' counts of these."""
-    once = rows.dropDuplicates(["y", "text"])
-    totals = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    n = n0 + n1
-    if not n0 or not n1:
-        return Index(prior=float(n1 > 0))
-    counted = _with_terms(once, None).select("y", F.explode("terms").alias("term")).groupBy("term")
-    counted = counted.agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    counted = counted.filter((F.col("df") >= min(MIN_DOCS, n1)) & (F.col("df") < n))
-
-    def part(seen, expected):  # noqa: ANN001, ANN202
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    a, df = F.col("a"), F.col("df")
-    cells = [(a, df * n1 / n), (df - a, df * n0 / n), (n1 - a, (n - df) * n1 / n), (n0 - df + a, (n - df) * n0 / n)]
-    g = 2 * sum((part(s, e) for s, e in cells[1:]), part(*cells[0]))
-    lift = ((a + 0.5) / (n1 + 1)) / ((df - a + 0.5) / (n0 + 1))
-    counted = counted.filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
-    chosen = counted.withColumn("g", g).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
-    of_terms = {r["term"]: int(r["df"]) for r in chosen}
-    own = _with_terms(rows, frozenset(of_terms)).collect()
-    return _built([(r["id"], r["y"], dict(zip(r["terms"], r["counts"], strict=True))) for r in own], of_terms, n)
+    found = documents.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["term"].to_numpy(), found["n"].to_numpy()
+    out = np.zeros(len(terms), np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
+
+
+def _votes(spark, index: Index) -> tuple[list[float], list[int]]:  # noqa: ANN001
+    """Votes on the examples, each left out of its own, and their labels."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                numbers = list(range(start, min(start + TOGETHER, len(own.labels))))
+                near = own.nearest([own.example(i) for i in numbers], but=numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([own.vote(*x) for x in near])], names=["number", "vote"])
+
+    tasks = -(-len(index.labels) // (4 * TOGETHER))
+    found = spark.range(0, len(index.labels), TOGETHER, tasks).mapInArrow(run, "number int, vote double").toArrow().sort_by("number")
+    return found["vote"].to_pylist(), index.labels.tolist()
+
+
+def fit(rows: DataFrame, documents: DataFrame | None = None) -> Index:
+    """The index over (id, y, text), of which there are at most MAX_EXAMPLES; the driver gets their words' counts. Document
+    frequencies are those in ``documents`` (text), by default in the rows themselves."""
+    ids, labels, counts, terms, once = _counted(rows)
+    if not len(ids) or labels.min() == labels.max() or not terms:
+        return Index(prior=float(labels.mean()) if len(ids) else 0.0)
+    found, n = frequencies(rows if documents is None else documents, terms)
+    out = built(ids, labels, counts, terms, found, n, once)
+    out.curve = _logistic(*_votes(rows.sparkSession, out))
+    return out
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", to: str = "toxicity") -> DataFrame:
@@ -246,40 +363,35 @@ def score(docs: DataFrame, index: Index, text: str = "text", to: str = "toxicity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        words = {t for t in own.idf if not t.endswith("*")}
-        starts = {t[:-1] for t in own.idf if t.endswith("*")}
-        heads = {t[: PREFIXES[0]] for t in starts}
-        known: dict[tuple, dict] = {}
-
-        def result(x: str | None) -> dict:
-            found = Counter(WORDS.findall((x or "").lower()))
-            kept = {t: found[t] for t in words & found.keys()}
-            for w, n in found.items():
-                if w[: PREFIXES[0]] in heads:
-                    for size in PREFIXES:
-                        if len(w) > size and (t := w[:size]) in starts:
-                            kept[t + "*"] = kept.get(t + "*", 0) + n
-            key = tuple(sorted(kept.items()))
-            out = known.get(key)
-            if out is None:
-                near = own.nearest(own.vector(Counter(kept)))
-                s = own.score(near)
-                evidence = [{"id": int(own.ids[i]), "cosine": c, "label": int(own.labels[i])} for c, i in near[:3]]
-                out = {"score": s, "predicted": int(s >= 0.5), "evidence": evidence}
-                if len(known) < 50_000:
-                    known[key] = out
-            return out
+        known: dict[bytes, dict] = {}
+
+        def results(texts: list[str | None]) -> list[dict]:
+            marks = [blake2b((x or "").encode(), digest_size=16).digest() for x in texts]
+            new = {m: x for m, x in zip(marks, texts, strict=True) if m not in known}
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = dict(zip(marks, texts, strict=True))
+            near = own.nearest([own.vector(x) for x in new.values()]) if new and own.curve[0] else [(np.zeros(0), np.zeros(0, np.int64))] * len(new)
+            for m, (cosines, numbers) in zip(new, near, strict=True):
+                s = own.score(own.vote(cosines, numbers))
+                evidence = [{"id": int(own.ids[i]), "cosine": float(c), "label": int(own.labels[i])} for c, i in zip(cosines[:3], numbers[:3], strict=True)]
+                known[m] = {"score": s, "predicted": int(s >= 0.5), "evidence": evidence}
+            return [known[m] for m in marks]
 
         for batch in batches:
-            made = pa.array([result(x.as_py()) for x in batch.column(at)], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, to])
+            made = [r for a in range(0, len(batch), TOGETHER) for r in results(batch.column(at).slice(a, TOGETHER).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*names, to])
 
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*fields, T.StructField(to, kind)]))
 
 
+def model(documents: DataFrame, labels: DataFrame) -> Index:
+    """The index that labelled documents give, with frequencies of all documents."""
+    return fit(examples(documents, labels), documents)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(examples(docs, table(spark, sf_dir, "labels")))
-    out = score(docs, index)
+    out = score(docs, model(docs, table(spark, sf_dir, "labels")))
     t = F.col("toxicity")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), t["score"].alias("score"), t["predicted"].alias("predicted"), t["evidence"].alias("evidence"))

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -61,6 +62,15 @@ def test_long_texts_through_chunks(library, codec, counter, seed):
         assert codec.encode(text) == ids and counter.total(text) == len(ids)
 
 
+@pytest.mark.parametrize("text", [" " * 100_000 + "a", "\n" * 100_000, " \n\t" * 30_000 + "z", "<|endoftext|>" * 10_000, "<|endoftext|>" + "abc" * 20_000, "x'" * 40_000, "'re'll'd" * 10_000, "\u3000" * 40_000 + "日本" * 20_000])
+def test_counts_of_long_runs_are_linear(library, counter, text):
+    began = time.time()
+    got = counter.prefixes(text)
+    assert time.time() - began < 10
+    for k in [*range(min(len(text), 40)), len(text) // 2, len(text) // 2 + 1, len(text) - 1, len(text)]:
+        assert got[k] == len(ids_of(library, text[:k])), k
+
+
 def test_shared_passages_are_encoded_once(codec):
     random.seed(1)
     passage = " ".join("".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(3000))
