@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored as toxic; the examples are the labelled documents of ``sf_dir``."""
-    index = toxicity.fit(toxicity.examples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    index = toxicity.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     to = free(docs, "toxicity")
     return toxicity.score(docs, index, to=to).filter(F.col(to)["predicted"] == 0).drop(to)
 
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms in the place of personal data; they keep their values' lengths, so n_chars stays right."""
-    return pii.pseudonymised(docs, to=None)
+    return pii.pseudonymised(docs, pii.KEY, to=None)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
