@@ -73,6 +73,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of(df: DataFrame) -> str:
+    """Where a table that ``written`` made lies."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def released(*frames: DataFrame) -> None:
     """Deletes tables that ``written`` made, once nothing reads them any more."""
     for df in frames:

@@ -1,4 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+Candidates are texts whose SimHash fingerprints over five-word shingles are linked (BK-trees, as in ``simhash``), and, as two texts
+at the bound differ in about ten bits where trees look for three, texts whose sets of shingles a prefix filter can't rule
+out. Every candidate is then checked exactly.
 
 A text is the set of its shingles' 64-bit hashes. Two sets are linked if they share at least NUM / DEN of their union. All
 such pairs are found: sets are put in one common order, and two that are linked share an element among the first
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewarden.llm import simhash
 from gatewarden.llm.common import written
-from gatewarden.llm.simhash import SEED, _Forest, components, one_of_each
+from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_each, shingle_hashes
 
 #: Words of a shingle; the least similarity, as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -35,12 +40,7 @@ _TOKENS = 4096
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    from xxhash import xxh64_intdigest
-
-    # On bytes, lower() knows A-Z only and split() exactly the six separators.
-    w = (text or "").encode("utf-8").lower().split()
-    parts = zip(*[w[k:] for k in range(size)], strict=False) if len(w) >= size else [w] if w else []
-    return np.unique(np.array([xxh64_intdigest(b" ".join(x), SEED) for x in parts], dtype="<u8"))
+    return np.unique(np.array(shingle_hashes(text, size), dtype="<u8"))
 
 
 def prefix_length(n: int) -> int:
@@ -65,8 +65,8 @@ def _frequent(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``docs`` (id, row, text) as (id, row, key, n, prefix, sketch): the key of equal sets, their size, the prefix as
-    32-bit numbers (equal elements have equal ones) and counts by bin, 255 at most."""
+    """``docs`` (id, row, text) as (id, row, key, n, prefix, sketch, fp): the key of equal sets, their size, the prefix as
+    32-bit numbers (equal elements have equal ones), counts by bin, 255 at most, and the SimHash fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +82,14 @@ def sets(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                found = [shingles(x.as_py(), size) for x in part.column(2)]
+                hashes = [shingle_hashes(x.as_py(), size) for x in part.column(2)]
+                found = [np.unique(np.array(h, dtype="<u8")) for h in hashes]
+                fps = pa.array(np.array([of_hashes(h) for h in hashes], dtype=np.uint64).view(np.int64))
                 keys = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
-                made = [pa.array(keys), pa.array([len(x) for x in found], pa.int32()), pa.array([prefix(x) for x in found], pa.list_(pa.int32())), pa.array([np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "row", "key", "n", "prefix", "sketch"])
+                made = [pa.array(keys), pa.array([len(x) for x in found], pa.int32()), pa.array([prefix(x) for x in found], pa.list_(pa.int32())), pa.array([np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in found], pa.binary()), fps]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "row", "key", "n", "prefix", "sketch", "fp"])
 
-    return docs.select("id", "row", F.col(f"`{text}`")).mapInArrow(run, "id bigint, row bigint, key bigint, n int, prefix array<int>, sketch binary")
+    return docs.select("id", "row", F.col(f"`{text}`")).mapInArrow(run, "id bigint, row bigint, key bigint, n int, prefix array<int>, sketch binary, fp bigint")
 
 
 def _dealt(rows: DataFrame, group: str, *columns: str) -> DataFrame:
@@ -146,6 +148,13 @@ def candidates(own: DataFrame) -> DataFrame:
     return _dealt(rows.join(own.select("key", "sketch").dropDuplicates(["key"]), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint").distinct()
 
 
+def alike(own: DataFrame) -> DataFrame:
+    """Edges (a, b) between keys of ``own`` (key, fp) whose SimHash fingerprints are linked, found with BK-trees."""
+    nodes = written(own.groupBy("fp").agg(F.min("key").alias("node")), "nodes")
+    same = own.select("fp", F.col("key").alias("a")).distinct().join(nodes, "fp").filter("a <> node").select("a", F.col("node").alias("b"))
+    return same.union(simhash.links(nodes, simhash.blocks_for(nodes.count())))
+
+
 def linked(found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among sets, by their places."""
     n = np.array([len(x) for x in found], dtype=np.int64)
@@ -193,7 +202,7 @@ def _compared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between keys that connect the sets that are linked; ``own``: the sets of ``docs``, a table."""
-    edges = written(candidates(own), "candidates")
+    edges = written(candidates(own).union(alike(own)), "candidates")
     parts = components(edges)
     sizes = parts.groupBy("component").agg(_blocks(F.count("*")))
     whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()

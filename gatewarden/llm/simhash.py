@@ -4,8 +4,9 @@
 ``blocks - RADIUS`` of ``blocks`` equal blocks of bits, so for each choice of that many blocks the fingerprints are dealt
 out by the bits they have there, and only those dealt together are compared: no pair within the radius is lost. Each
 group builds a BK-tree (children keyed by their integer Hamming distance to the parent) and looks itself up in it,
-following only edges within the radius. A group of over SHARD members is split: each member stands in the tree of one
-shard and is looked up in all of them, so that trees are bounded and no task takes a whole group.
+following only edges within the radius. A group of over SHARD members is dealt out again by parts of its other bits; what is
+still over it is split: each member stands in the tree of one shard and is looked up in all of them, so that trees are bounded
+and no task takes a whole group.
 
 Trees travel by the exchange that builds them rather than by broadcast: broadcast to all, every fingerprint would meet
 every tree, whose number grows with the corpus.
@@ -15,7 +16,8 @@ small-star rounds over these edges, each round a written table.
 
 Edge cases: a null or empty text has fingerprint 0 and links like any other; texts of one or two words hash their whole
 sequence; a null doc_id takes part in links but is never a component's id (null if no other is there); repeated rows are
-kept, each with its component; an empty table gives an empty result; extra columns pass through ``deduplicated``.
+kept, each with its component; very long texts are hashed in slices; an empty table gives an empty result; extra columns pass
+through ``deduplicated``. Ids are whole numbers or their text.
 """
 
 from __future__ import annotations
@@ -40,17 +42,18 @@ NO_ID = 1 << 62
 _SLICE = 200_000
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
+    """Hashes of a text's shingles, repeats included; of its whole sequence if that is shorter."""
     from xxhash import xxh64_intdigest
 
     # On bytes, lower() knows A-Z only and split() exactly the six separators.
     w = (text or "").encode("utf-8").lower().split()
-    if not w:
-        return 0
-    if len(w) < SHINGLE:
-        return xxh64_intdigest(b" ".join(w), SEED)
-    h = [xxh64_intdigest(b" ".join(x), SEED) for x in zip(*[w[k:] for k in range(SHINGLE)], strict=False)]
+    parts = zip(*[w[k:] for k in range(size)], strict=False) if len(w) >= size else [w] if w else []
+    return [xxh64_intdigest(b" ".join(x), SEED) for x in parts]
+
+
+def of_hashes(h: list[int]) -> int:
+    """The unsigned 64-bit fingerprint: a bit is set if it is in over half of the hashes."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(h), _SLICE):
         part = np.array(h[at : at + _SLICE], dtype="<u8")
@@ -58,6 +61,11 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of one text."""
+    return of_hashes(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """``docs`` without ``text``, with the fingerprint as a signed 64-bit integer."""
     from pyspark.sql import types as T
@@ -165,6 +173,19 @@ def _keys(fp: Column, blocks: int) -> list[Column]:
     return out
 
 
+def _parts(fp: Column, choice: Column, blocks: int) -> Column:
+    """The bits of a fingerprint in RADIUS + 1 equal parts of what a choice of blocks leaves, each in its place."""
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    out = F.array().cast("array<bigint>")
+    for number, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        free = [i for k in range(blocks) if k not in chosen for i in range(edges[k], edges[k + 1])]
+        cuts = [len(free) * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+        masks = [sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        masked = F.array(*[fp.bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)) for m in masks])
+        out = F.when(choice == number, masked).otherwise(out)
+    return out
+
+
 def blocks_for(n: int) -> int:
     """The fewest blocks whose buckets hold about BUCKET fingerprints or fewer."""
     for blocks in (4, 5, 6, 7):
@@ -174,24 +195,44 @@ def blocks_for(n: int) -> int:
 
 
 def links(nodes: DataFrame, blocks: int) -> DataFrame:
-    """Edges (a, b) that connect what the links among ``nodes`` (fp distinct, node) connect."""
+    """Edges (a, b) that connect what the links among ``nodes`` (fp distinct, node) connect, as a table.
+
+    A bucket of over SHARD members is dealt out again by what its fingerprints have in the other blocks: cut in
+    RADIUS + 1 parts there, two within the radius agree on one part at least. What is still over SHARD is split into shards' trees.
+    """
     keyed = nodes.select("fp", "node", F.posexplode(F.array(*_keys(F.col("fp"), blocks))).alias("choice", "bits"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"))
-    # A table, so that its size is known: it is broadcast if small, else both sides are dealt out and skew can be split.
-    hot = written(sizes.filter(F.col("n") > SHARD).select("choice", "bits", F.ceil(F.col("n") / SHARD).cast("int").alias("shards")), "hot")
-    placed = keyed.join(hot, ["choice", "bits"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    # Tables, so that their size is known: they are broadcast if small, else both sides are dealt out and skew can be split.
+    hot = written(sizes.filter(F.col("n") > SHARD).select("choice", "bits", F.lit(True).alias("hot")), "hot")
+    marked = keyed.join(hot, ["choice", "bits"], "left").withColumns({"part": F.lit(-1), "sub": F.lit(0).cast("long")})
+    cold = marked.filter("hot IS NULL").drop("hot")
+    again = marked.filter("hot").select("fp", "node", "choice", "bits", F.posexplode(_parts(F.col("fp"), F.col("choice"), blocks)).alias("part", "sub"))
+    again = written(again, "again")
+    key = ["choice", "bits", "part", "sub"]
+    large = again.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > SHARD)
+    large = written(large.select(*key, F.ceil(F.col("n") / SHARD).cast("int").alias("shards")), "large")
+    placed = cold.select("fp", "node", *key).withColumn("shards", F.lit(1))
+    placed = placed.union(again.join(large, key, "left").select("fp", "node", *key, F.coalesce("shards", F.lit(1))))
     own = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
     placed = placed.withColumn("own", own).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    placed = placed.select("choice", "bits", "shard", (F.col("own") != F.col("shard")).alias("is_query"), "fp", "node")
-    dealt = placed.repartition("choice", "bits", "shard").sortWithinPartitions("choice", "bits", "shard", "is_query", "fp")
-    return dealt.mapInArrow(_search, "a bigint, b bigint")
+    placed = placed.select(*key, "shard", (F.col("own") != F.col("shard")).alias("is_query"), "fp", "node")
+    dealt = placed.repartition(*key, "shard").sortWithinPartitions(*key, "shard", "is_query", "fp")
+    found = written(dealt.mapInArrow(_search, "a bigint, b bigint"), "links")
+    released(hot, again, large)
+    return found
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour, itself included."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both_ways(edges)
     least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    out = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+    released(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -199,18 +240,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    out = written(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+    released(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges; the component is its smallest node. ``edges`` must be a table."""
+    """(node, component) for each node of the edges; the component is its smallest node. ``edges`` must be a table; it is
+    deleted, as are the tables of all rounds but the last."""
     now, before = edges, None
     while True:
-        large = written(_large_star(now), "stars")
-        after = written(_small_star(large), "stars")
+        large = _large_star(now)
+        after = _small_star(large)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now is not edges:
-            released(now)
+        released(now, large)
         now = after
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -224,8 +267,7 @@ def rooted(fps: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     # Two fingerprints with one stand-in differ in the last two bits only, so they are linked in any case.
     nodes = fps.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).cast("long").alias("node"))
     nodes = written(nodes.select("fp", F.coalesce("node", stand_in).alias("node")), "nodes")
-    edges = written(links(nodes, blocks_for(nodes.count())), "links")
-    found = components(edges)
+    found = components(links(nodes, blocks_for(nodes.count())))
     of_fp = nodes.join(found, "node", "left").select(F.col("fp").alias(fp), F.coalesce("component", "node").alias("root"))
     return fps.join(of_fp, fp)
 

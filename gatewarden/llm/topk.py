@@ -1,14 +1,13 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are packed into tiles and candidates into shards, each one row with a matrix. Every shard meets every tile once
-- a stated query set against all rows, in blocks - by an equi-join on the tile's number. A product gives the scores of a
-block, partial selection its best per query, and lists are merged in two levels: first by (query, bucket of shards), then
-by query. Sums of products of integers are exact in floating point while below 2 ** 53 (2 ** 24 in single precision);
-the bound is checked against the largest component of each block, and beyond it Python's integers are used; scores that no
-long holds stay at its ends.
+Queries are packed into tiles, broadcast in rounds of bounded size, and every task multiplies its candidates, shard by
+shard, with the tiles - a stated query set against all rows, in blocks. Partial selection keeps the best per query and tile;
+lists are merged in the task, and then by query. Sums of products of integers are exact in floating point while below
+2 ** 53 (2 ** 24 in single precision); the bound is checked against the largest component of each block, and beyond it Python's
+integers are used; scores that no long holds stay at its ends.
 
 Edge cases: rows whose id or vector is null, or that hold a null or non-finite component, take no part, nor do empty
-vectors; shorter vectors count as padded with zeros; a query with fewer candidates than k gets all; equal scores go to
+vectors; an empty table gives an empty result; very long vectors take more rounds; shorter vectors count as padded with zeros; a query with fewer candidates than k gets all; equal scores go to
 the smaller id; repeated rows each count, except those with the query's own id; extra columns are left alone.
 """
 
@@ -22,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.llm.common import table, written
+from gatewarden.llm.common import folder_of, released, table, written
 
-TILE, SHARD, FAN_IN = 1024, 4096, 16
-_PACKED = "part bigint, ids binary, vectors binary, width int"
+TILE, SHARD = 1024, 4096
+#: Bytes of queries that are broadcast at once.
+ROUND = 64 << 20
 
 
 def integral(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -36,33 +36,21 @@ def integral(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", s
     return rows.filter(~bad).select(F.col(vec_id).cast("long").alias("id"), x.alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """Rows as matrices of about ``size``, dealt out by a hash of the id and, for repeated ids, of the vector."""
-    parts = max(1, -(-n // size))
+def _matrix(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as rows, shorter ones padded with zeros."""
+    width = max(map(len, vectors), default=0)
+    if len(vectors) and min(map(len, vectors)) == width:
+        return np.stack(vectors)
+    m = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        m[i, : len(v)] = v
+    return m
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(part: int, ids: list[int], vectors: list) -> pa.RecordBatch:
-            width = max(map(len, vectors))
-            m = np.zeros((len(ids), width))
-            for k, v in enumerate(vectors):
-                m[k, : len(v)] = v
-            columns = [[part], [np.array(ids, np.int64).tobytes()], [m.tobytes()], [width]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["part", "ids", "vectors", "width"])
 
-        now, ids, vectors = None, [], []
-        for batch in batches:
-            for part, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), strict=True):
-                if ids and (part != now or len(ids) == 2 * size):
-                    yield pack(now, ids, vectors)
-                    ids, vectors = [], []
-                now = part
-                ids.append(i)
-                vectors.append(v)
-        if ids:
-            yield pack(now, ids, vectors)
-
-    dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("part"), "id", "v")
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, _PACKED)
+def _tiles(queries: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of about TILE queries each."""
+    ids, vectors = queries["id"].to_numpy(), queries["v"].to_numpy()
+    return [(ids[a : a + TILE], _matrix(vectors[a : a + TILE])) for a in range(0, len(ids), TILE)]
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -78,32 +66,45 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(whole, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
-def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best k candidates of each query in each block."""
+def _best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries, ids and scores of the best k candidates (in order of id) of each query."""
+    s = _product(q, c)
+    same = qid[:, None] == cid[None, :] if len(np.intersect1d(qid, cid)) else None
+    if same is not None:
+        s[same] = np.iinfo(np.int64).min
+    kth = min(k, s.shape[1])
+    edge = np.partition(s, s.shape[1] - kth, axis=1)[:, s.shape[1] - kth]
+    row, hit = np.nonzero(s >= edge[:, None])
+    if same is not None:
+        other = ~same[row, hit]
+        row, hit = row[other], hit[other]
+    return _first(row, cid[hit], s[row, hit], k)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores.astype(object) if len(scores) and scores.min() == np.iinfo(np.int64).min else -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[place < k], scores[place < k]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], tiles: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The best k candidates (id, v) of each query in one task: a shard is multiplied with every tile, and its lists are
+    merged with those of the shards before."""
+    best: list[tuple | None] = [None] * len(tiles)
     for batch in batches:
-        for r in batch.to_pylist():
-            qid, cid = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+        for at in range(0, len(batch), SHARD):
+            part = batch.slice(at, SHARD)
+            cid = part.column(0).to_numpy()
             order = np.argsort(cid, kind="stable")
-            cid = cid[order]
-            c = np.frombuffer(r["vectors"]).reshape(-1, r["width"])[order]
-            s = _product(np.frombuffer(r["qvectors"]).reshape(-1, r["qwidth"]), c)
-            out_q, out_v, out_s = [], [], []
-            lowest = np.iinfo(np.int64).min
-            same = qid[:, None] == cid[None, :] if len(np.intersect1d(qid, cid)) else None
-            if same is not None:
-                s[same] = lowest
-            kth = min(k, s.shape[1])
-            edge = np.partition(s, s.shape[1] - kth, axis=1)[:, s.shape[1] - kth]
-            for i in range(len(qid)):
-                hits = np.flatnonzero(s[i] >= edge[i])  # in order of id
-                if same is not None:
-                    hits = hits[~same[i, hits]]
-                hits = hits[np.argsort(-s[i, hits], kind="stable")][:k]
-                out_q.extend([int(qid[i])] * len(hits))
-                out_v.extend(cid[hits].tolist())
-                out_s.extend(s[i, hits].tolist())
-            group = [r["part"] % FAN_IN] * len(out_q)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (group, out_q, out_v, out_s)], names=["bucket", "query_id", "vec_id", "score"])
+            c = _matrix(part.column(1).to_numpy(zero_copy_only=False)[order])
+            for t, (qid, q) in enumerate(tiles):
+                new = _best(qid, q, cid[order], c, k)
+                best[t] = new if best[t] is None else _first(*[np.concatenate(x) for x in zip(best[t], new, strict=True)], k)
+    for (qid, _), found in zip(tiles, best, strict=True):
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (qid[found[0]], found[1], found[2])], names=["query_id", "vec_id", "score"])
 
 
 def _merged(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -115,22 +116,28 @@ def _merged(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best candidates, its own id excluded. Both sides (id, v)."""
-    n_queries, n = queries.count(), candidates.count()
+    """(query_id, rank, vec_id, score) of each query's k best candidates, its own id excluded. Both sides (id, v).
+
+    Candidates stay where they are. Queries go round by round: tiles of ROUND bytes at most are broadcast, each task keeps its
+    k best of every query over all its candidates, and only these lists move.
+    """
+    spark = candidates.sparkSession
     # A query that stands in several rows is one query.
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    tiles = written(_packed(queries, TILE, n_queries), "tiles")
-    shards = _packed(candidates, SHARD, n)
-    numbers = tiles.select("part", F.xxhash64("ids").alias("tile"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("width").alias("qwidth")).drop("part")
-    known = [r["tile"] for r in numbers.select("tile").collect()]
-    if not known:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # One number a tile goes to the driver, a thousandth of the queries.
-    met = shards.withColumn("tile", F.explode(F.array(*[F.lit(t) for t in known]))).join(numbers, "tile")
-    lists = met.select("part", "ids", "vectors", "width", "qids", "qvectors", "qwidth").mapInArrow(lambda b: _best(b, k), "bucket bigint, query_id bigint, vec_id bigint, score bigint")
-    lists = lists.withColumn("copy", F.monotonically_increasing_id())
-    first = _merged(lists, ["query_id", "bucket"], k).drop("rank")
-    return _merged(first, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+    n, widest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    rounds = max(1, -(-n * 8 * (widest or 1) // ROUND))
+    dealt = written(queries.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int")), "queries") if rounds > 1 else queries.withColumn("round", F.lit(0))
+    parts = []
+    for number in range(rounds):
+        found = dealt.filter(F.col("round") == number).select("id", "v").toArrow().sort_by("id")
+        shared = spark.sparkContext.broadcast(_tiles(found))
+        lists = candidates.mapInArrow(lambda b, s=shared: _scanned(b, s.value, k), "query_id bigint, vec_id bigint, score bigint")
+        merged = _merged(lists.withColumn("copy", F.monotonically_increasing_id()), ["query_id"], k)
+        parts.append(written(merged, "best") if rounds > 1 else merged)
+    if rounds > 1:
+        released(dealt)
+    out = parts[0] if rounds == 1 else spark.read.schema(parts[0].schema).parquet(*[folder_of(p) for p in parts])
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

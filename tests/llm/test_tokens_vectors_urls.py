@@ -141,6 +141,7 @@ def _brute(rows, queries, k=5):
 def test_topk_ties_and_sizes(frame, monkeypatch, top):
     monkeypatch.setattr(topk, "TILE", 4)
     monkeypatch.setattr(topk, "SHARD", 7)
+    monkeypatch.setattr(topk, "ROUND", 500)
     random.seed(top)
     rows = [(k, [float(random.randint(-top, top)) for _ in range(5)]) for k in range(60)]
     df = frame(rows, "id bigint, v array<double>")
