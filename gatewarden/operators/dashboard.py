@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def counted(rows: DataFrame, ts: str, width: int, fill: bool = True) -> DataFram
     return bins.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def times_of(*branches: tuple[DataFrame, str]) -> DataFrame:
+    """(ts) of several tables, each with the name of its column of times, one after another; null times are left out."""
+    parts = [rows.select(F.col(ts).cast("timestamp").alias("ts")) for rows, ts in branches]
+    return reduce(DataFrame.union, parts).filter("ts IS NOT NULL")
+
+
+def stamp(form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """The time of the query as text."""
+    return F.date_format(F.current_timestamp(), form)
+
+
 def width_for(rows: DataFrame, ts: str) -> int:
     """The bins' width for the rows' range: one row goes to the driver."""
     ends = rows.agg((F.unix_seconds(F.max(ts).cast("timestamp")) - F.unix_seconds(F.min(ts).cast("timestamp"))).alias("s")).first()["s"] or 0

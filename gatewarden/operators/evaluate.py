@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewarden.operators.vocabulary import numbered
 from gatewarden.functions.text import LABELS, UNPARSED, label_id, label_name, request_lines
 
 
@@ -87,3 +88,14 @@ def best_metric(rows: DataFrame, kpi: str = "kpi", epoch: str = "epoch") -> Data
     """The row with the highest metric; of equal ones the earliest."""
     best = F.max(F.struct(F.col(kpi).alias("k"), (-F.col(epoch)).alias("e"))).alias("b")
     return rows.agg(best).select(F.col("b.k").alias("best"), (-F.col("b.e")).alias("epoch"))
+
+
+def by_position(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """The rows of two tables side by side, by their places in an order each; they must be equally long and share no
+    column."""
+    if left.count() != right.count():
+        raise ValueError("tables of different lengths")
+    if {c.lower() for c in left.columns} & {c.lower() for c in right.columns}:
+        raise ValueError("columns of one name")
+    placed = numbered(left, left_order, 1, "_place").join(numbered(right, right_order, 1, "_place"), "_place")
+    return placed.drop("_place")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gatewarden.operators.vocabulary import PREDEFINED
+
 _URL = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 _ID = f"""
   SELECT page_id, url, 'GET|' || replace(trim(lower(regexp_extract(url, {_URL}, 3)), '/'), '/', '_') || '|' ||
@@ -22,17 +24,22 @@ _KNN = """
   SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank
   FROM (SELECT q.vec_id AS query_id, s.vec_id AS vec_id,
                round(sqrt(list_sum(list_transform(list_zip(q.embedding, s.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 9) AS distance
-        FROM embeddings q, embeddings s WHERE q.vec_id % 25 = 0)
+        FROM embeddings q, embeddings s WHERE q.vec_id % 20 = 0)
   QUALIFY rank <= 6"""
 _PREDICTED = """
   SELECT label AS y_true, CAST(CASE WHEN vec_id % 7 = 0 THEN 10 WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS y_pred
   FROM embeddings"""
 _LABELS = ("normal", "SQL Injection", "Forced Browsing", "Path Traversal", "Cross-site Scripting", "XML Injection", "OS Command Injection", "LDAP Injection", "Remote Code Execution", "Others")
 _NAMES = "[" + ", ".join(f"'{x}'" for x in _LABELS) + "]"
-_PAYLOADS = "SELECT doc_id AS idx, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 48) AS text FROM documents WHERE n_chars < 300"
+_PAYLOADS = "SELECT page_id AS idx, url AS text FROM pages"
 _SHORT = {"Path Traversal": "traversal", "Cross-site Scripting": "xss", "XML Injection": "xxe", "Remote Code Execution": "rce"}
 _CASES = " ".join(f"WHEN contains(t, '{_SHORT.get(x, x).lower()}') OR contains(t, '{x.lower()}') THEN {i}" for i, x in enumerate(_LABELS))
 
+_IS_HEX = "regexp_matches(token, '^(0x)?[0-9a-f]{8,}$')"
+_IS_BASE = "(regexp_matches(token, '^[0-9a-z]{12,}$') AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[a-z]'))"
+_IS_CODE = f"({_IS_HEX} OR {_IS_BASE})"
+_FIXED = "[" + ", ".join(f"'{t}'" for t in PREDEFINED) + "]"
+
 SQL = {
     "structure_identifier_counts": f"SELECT identifier, count(*) AS requests FROM ({_ID}) GROUP BY identifier",
     "param_values_by_structure": f"""
@@ -64,7 +71,7 @@ SQL = {
       SELECT doc_id, array_to_string(list_concat(list_transform(words[1:16], lambda x: coalesce(ids[x], 1)), list_transform(range(greatest(0, 16 - len(words))), lambda x: 0)), ' ') AS ids
       FROM w, m""",
     "sequence_counts_dedup": f"""
-      WITH w AS (SELECT doc_id, lang, list_transform(words[1:12], lambda x: CASE WHEN length(x) > 4 THEN '__other__' ELSE x END) AS t FROM ({_WORDS}) JOIN documents USING (doc_id)),
+      WITH w AS (SELECT doc_id, lang, list_transform(words, lambda x: CASE WHEN length(x) > 4 THEN '__other__' ELSE x END) AS t FROM ({_WORDS}) JOIN documents USING (doc_id)),
       s AS (SELECT doc_id, lang, array_to_string(list_transform(list_filter(list_zip(t, list_concat([NULL], t)), lambda p: p[1] IS NOT NULL AND NOT (p[1] = '__other__' AND p[2] IS NOT DISTINCT FROM '__other__')), lambda p: p[1]), ' ') AS seq FROM w)
       SELECT seq, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids,
              array_to_string(list(lang ORDER BY doc_id)[1:5], ',') AS samples
@@ -74,10 +81,10 @@ SQL = {
       FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\r\n\f\x0b]+')) AS token FROM documents) WHERE token <> '' GROUP BY 1""",
     "label_histogram": f"SELECT label, count(*) AS n, coalesce(({_NAMES})[label + 1], 'unknown') AS name FROM embeddings GROUP BY label",
     "methods_rollup": f"SELECT method, count(*) AS requests FROM ({_REQUESTS}) GROUP BY ROLLUP (method)",
-    "merge_vocab_union": "SELECT DISTINCT token FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS token FROM documents WHERE lang IN ('en', 'de'))",
+    "merge_vocab_union": "SELECT DISTINCT token FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS token FROM documents)",
     "embedding_merge_antijoin": """
       WITH r AS (SELECT 'w' || vec_id AS word, vec_id AS id FROM embeddings), a AS (SELECT * FROM r WHERE id % 3 <> 0),
-      b AS (SELECT * FROM r WHERE id % 2 = 0 AND word NOT IN (SELECT word FROM a))
+      b AS (SELECT * FROM r WHERE word NOT IN (SELECT word FROM a))
       SELECT word, id FROM a UNION ALL SELECT word, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY id) FROM b""",
     "knn_top6": f"SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM ({_KNN})",
     "knn_vote": f"""
@@ -103,7 +110,7 @@ SQL = {
                                        WHEN contains(low, 'final answer:') THEN substr(low, instr(low, 'final answer:') + 13) ELSE low END AS t FROM a),
       y AS (SELECT conv_id, turn, CASE {_CASES} ELSE 10 END AS y_pred FROM t)
       SELECT conv_id, turn, y_pred, coalesce(({_NAMES})[y_pred + 1], 'unknown') AS prediction_result FROM y""",
-    "final_answer_extract": r"""SELECT conv_id, turn, regexp_replace(substr(text, 1, 40), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS answer FROM conversations""",
+    "final_answer_extract": r"""SELECT conv_id, turn, regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS answer FROM conversations""",
     "prompt_split": r"""
       SELECT conv_id, turn, CAST(CASE WHEN turn % 2 = 0 THEN length(role) + 1 ELSE 0 END AS BIGINT) AS system_chars,
              sha256(CASE WHEN turn % 2 = 0 THEN '# Input request' || chr(10) || text ELSE text END) AS user_sha256
@@ -156,4 +163,80 @@ SQL = {
     "stage_resume": "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 2 <> 0",
     "stream_vs_batch_counts": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2",
     "latest_event": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "request_heads": f"SELECT id, method, url FROM ({_REQUESTS})",
+    "canonical_urls": f"""
+      SELECT page_id, lower(regexp_extract(url, {_URL}, 1)) || '://' || lower(regexp_extract(url, {_URL}, 2)) ||
+             CASE WHEN regexp_extract(url, {_URL}, 3) = '' THEN '/' ELSE regexp_extract(url, {_URL}, 3) END ||
+             CASE WHEN q = '' THEN '' ELSE '?' || q END AS url
+      FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, {_URL}, 4), '&'), lambda x: x <> '')), '&') AS q FROM pages)""",
+    "body_kinds": "SELECT turn % 3 = 0 AS form, turn % 3 = 1 AS multipart, turn % 2 <> 0 AS named, count(*) AS n FROM conversations GROUP BY ALL",
+    "vocabulary_by_class": f"""
+      WITH t AS (SELECT token, count(*) AS n FROM (SELECT unnest(words) AS token FROM ({_WORDS})) GROUP BY token)
+      SELECT token FROM t WHERE n >= CASE WHEN {_IS_CODE} THEN 3 ELSE 20 END UNION SELECT unnest({_FIXED}) AS token""",
+    "placeholder_sequences": f"""
+      WITH w AS (SELECT doc_id, unnest(words) AS token, unnest(range(len(words))) AS pos FROM ({_WORDS})),
+      v AS (SELECT token FROM w GROUP BY token HAVING count(*) >= 50),
+      c AS (SELECT doc_id, pos, CASE WHEN v.token IS NOT NULL THEN w.token WHEN {_IS_HEX.replace("token", "w.token")} THEN '__phex__'
+                                     WHEN {_IS_BASE.replace("token", "w.token")} THEN '__pbas__' ELSE '__other__' END AS t FROM w LEFT JOIN v ON v.token = w.token),
+      l AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM c)
+      SELECT doc_id, sha256(string_agg(t, ' ' ORDER BY pos)) AS seq_sha256 FROM l WHERE NOT (list_contains({_FIXED}, t) AND t IS NOT DISTINCT FROM p) GROUP BY doc_id""",
+    "sequence_words": "SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS token FROM conversations",
+    "first_pairs": f"""
+      WITH p AS (SELECT page_id, string_split(regexp_extract(url, {_URL}, 4) || '&page=9&z=1&z=2', '&') AS q FROM pages),
+      u AS (SELECT page_id, unnest(q) AS kv, unnest(range(len(q))) AS pos FROM p),
+      f AS (SELECT * FROM u WHERE regexp_matches(kv, '^[^=]*=.') QUALIFY row_number() OVER (PARTITION BY page_id, string_split(kv, '=')[1] ORDER BY pos) = 1)
+      SELECT page_id, string_agg(kv, '&' ORDER BY pos) AS pairs FROM f GROUP BY page_id""",
+    "json_identifiers": "SELECT 'POST|api_' || event_type || '|' || array_to_string(list_sort(json_keys(props)), '_') AS identifier, count(*) AS n FROM events GROUP BY 1",
+    "json_parameters": """
+      SELECT 'q' AS param, '1' AS value, count(*) AS n FROM events
+      UNION ALL SELECT 'k', json_extract_string(props, '$.k'), count(*) FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 2""",
+    "shape_code_lists": r"""
+      SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(url, '\p{L}', 'A', 'g'), '\p{Nd}', 'N', 'g'), '[^AN]', 'S', 'g'), ''), lambda c: ascii(c)), ' ') AS codes
+      FROM pages""",
+    "character_counts": "SELECT hex(c) AS c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY 1",
+    "clean_texts": r"""
+      SELECT conv_id, turn, sha256(regexp_replace(t, '[\x00-\x1F\x7F]', '', 'g')) AS string_sha256,
+             sha256(trim(regexp_replace(replace(t, '"', ' '), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), ' ')) AS line_sha256
+      FROM (SELECT *, '"' || chr(1) || ' ' || text || ' ' || chr(9) || chr(127) || '"' AS t FROM conversations)""",
+    "filled_prompts": "SELECT conv_id, turn, sha256(role || ' says: ' || replace(text, '{role}', role) || ' (' || role || ', {other})') AS prompt_sha256 FROM conversations",
+    "escaped_patterns": r"""SELECT page_id, replace(regexp_replace('(.*) ' || url, '([\s#$&()*+\-.?\[\\\]^{|}~])', '\\\1', 'g'), '\.\*', '.*') AS pattern FROM pages""",
+    "signature_patterns": r"""
+      SELECT page_id, s AS signature, CAST(length(replace(s, '.*', '')) AS BIGINT) AS n
+      FROM (SELECT page_id, regexp_replace(url, '([\s#$&()*+\-.?\[\\\]^{|}~])', '\\\1', 'g') || '.*x.*.*y' AS s FROM pages)""",
+    "aligned_characters": f"""
+      WITH p AS (SELECT id, list_concat(list_concat([method], list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: '/' || x)), q) AS parts FROM ({_PARTS}))
+      SELECT id, CAST(len(parts) AS BIGINT) AS parts, array_to_string(string_split(array_to_string(parts, ''), ''), ' ') AS tokens FROM p""",
+    "aligned_words": f"""
+      WITH p AS (SELECT id, list_concat(list_concat([method], list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: '/' || x)), q) AS parts FROM ({_PARTS}))
+      SELECT id, array_to_string(list_filter(regexp_split_to_array(array_to_string(parts, ' '), '[,;+/=&'':?\\s]+'), lambda x: x <> ''), ' ') AS tokens FROM p""",
+    "parts_with_headers": f"""
+      SELECT id, array_to_string(list_concat(list_concat(list_concat([method], list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: '/' || x)), q), ['Host: h', 'X-Id: ' || id, 'a=1', 'b=2']), ' | ') AS parts
+      FROM ({_PARTS})""",
+    "custom_bodies": "SELECT conv_id, turn, 'role: ' || role || '|turn:' || turn AS parts FROM conversations",
+    "identifier_codec": "SELECT page_id, 'GET__PIPE__' || replace(replace(url, '|', '__PIPE__'), '/', '__SLASH__') AS code, 'GET|' || url AS identifier FROM pages",
+    "event_lags": """
+      SELECT event_type, CAST(sum(CASE WHEN user_id % 60 - 5 >= 0 THEN greatest(0, event_id % 100 - (user_id % 60 - 5) - 1) ELSE 0 END) AS BIGINT) AS lag,
+             round(avg(1 / (1 + exp(-value / 100))), 6) AS mean
+      FROM events GROUP BY event_type""",
+    "union_rate": """
+      WITH t AS (SELECT ts FROM events WHERE event_type = 'error' UNION ALL SELECT ts FROM events WHERE event_type = 'view' AND user_id % 3 <> 0),
+      c AS (SELECT date_trunc('hour', ts) AS bin, count(*) AS n FROM t GROUP BY 1),
+      b AS (SELECT unnest(generate_series(min(bin), max(bin), INTERVAL 1 HOUR)) AS bin FROM c)
+      SELECT bin, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (bin)""",
+    "positional_join": """
+      SELECT a.vec_id, b.label AS y, b.vec_id AS other FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings) a
+      JOIN (SELECT *, row_number() OVER (ORDER BY vec_id DESC) AS k FROM embeddings) b USING (k)""",
+    "reportable_labels": "SELECT label, count(*) AS n FROM embeddings WHERE label NOT IN (0, 9, 10) GROUP BY label",
+    "clusters_without_outlier": """
+      WITH r AS (SELECT page_id % 25 AS cluster, page_id AS idx, url AS text FROM pages),
+      s AS (SELECT a.cluster, a.idx, sum(levenshtein(a.text, b.text)) AS d, count(*) AS n FROM r a JOIN r b USING (cluster) GROUP BY ALL),
+      w AS (SELECT cluster, idx FROM s WHERE n > 5 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY d DESC, idx) = 1)
+      SELECT cluster, idx FROM r ANTI JOIN w USING (cluster, idx)""",
+    "cluster_medoids": """
+      WITH r AS (SELECT page_id % 25 AS cluster, page_id AS idx, url AS text FROM pages),
+      s AS (SELECT a.cluster, a.idx, sum(levenshtein(a.text, b.text)) AS d FROM r a JOIN r b USING (cluster) GROUP BY ALL)
+      SELECT cluster, idx FROM s QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY d, idx) = 1""",
+    "rule_fields": """
+      SELECT page_id, 'ARGS_GET:p' || page_id || CASE WHEN page_id % 2 = 0 THEN '|ARGS|REQUEST_BODY|REQUEST_FILENAME|ARGS|REQUEST_BODY|REQUEST_URI' ELSE '|REQUEST_FILENAME|ARGS_POST:id|REQUEST_URI' END AS targets FROM pages""",
+    "list_merge": "SELECT user_id AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id % 3, event_id) AS ids FROM events GROUP BY user_id",
 }

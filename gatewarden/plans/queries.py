@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewarden.functions import text as X
+from gatewarden.functions.arrow import NormaliserConfig
 from gatewarden.operators import dashboard, evaluate, inference, retrieve, signatures, structure, vocabulary
+from gatewarden.sources import writers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +62,9 @@ def word_tokens_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.explode(_words(F.col("text"))).alias("token"))
-    kind = F.when(F.col("token").rlike("^[0-9a-f]{8,}$"), "hex").when(F.col("token").rlike("^[0-9]+$"), "bas").otherwise("word")
-    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("token").alias("distinct_tokens"))
+    config = NormaliserConfig(hex_pattern="^[0-9a-f]{8,}$", base_pattern="^[0-9]+$")
+    counts = vocabulary.token_counts(table(spark, sf_dir, "documents").select(_words(F.col("text")).alias("tokens")), config)
+    return counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
@@ -81,9 +83,8 @@ def sequence_encode_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_counts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages' and sources' documents as sequences of placeholders: words of over 12 letters count as others."""
-    words = F.slice(_words(F.col("text")), 1, 12)
-    toks = F.transform(words, lambda w: F.when(F.length(w) > 4, "__other__").otherwise(w))
+    """Whole documents as sequences in which words of over 4 letters are placeholders; the contents are their languages."""
+    toks = F.transform(_words(F.col("text")), lambda w: F.when(F.length(w) > 4, "__other__").otherwise(w))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(vocabulary.without_repeats(toks), " ").alias("seq"), F.col("lang").alias("content"))
     out = vocabulary.sequence_table(rows, "doc_id")
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -105,19 +106,19 @@ def methods_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_vocab_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    of = lambda lang: docs.filter(F.col("lang") == lang).select(F.explode(_words(F.col("text"))).alias("token")).distinct()
-    return vocabulary.merged_vocabularies(of("en"), of("de"))
+    of = lambda which: docs.filter(which).select(F.explode(_words(F.col("text"))).alias("token")).distinct()
+    own = F.coalesce(F.col("lang"), F.lit(""))
+    return vocabulary.merged_vocabularies(of(own == "en"), of(own == "de"), of(~own.isin("en", "de")))
 
 
 def embedding_merge_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    first, second = rows.filter("id % 3 <> 0"), rows.filter("id % 2 = 0")
-    return vocabulary.merged_embeddings(first, second).select("word", "id")
+    return vocabulary.merged_embeddings(rows.filter("id % 3 <> 0"), rows).select("word", "id")
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "embeddings")
-    queries = store.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = store.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieve.nearest(queries, store)
 
 
@@ -163,7 +164,7 @@ def attack_label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.col("role"), F.lit(" Final Answer: x Final Answer: "), F.substring("text", 1, 40))
+    answer = F.concat(F.col("role"), F.lit(" Final Answer: x Final Answer: "), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.after_last(answer, "Final Answer:").alias("answer"))
 
 
@@ -253,10 +254,8 @@ def url_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 48 ASCII characters of short documents stand for payloads."""
-    clean = F.regexp_replace("text", "[^ -~]", "")
-    rows = table(spark, sf_dir, "documents").filter("n_chars < 300").select(F.col("doc_id").alias("idx"), F.substring(clean, 1, 48).alias("text"))
-    return rows.filter("text <> ''")
+    """URLs of all pages, in whole, stand for payloads."""
+    return table(spark, sf_dir, "pages").filter("url <> ''").select(F.col("page_id").alias("idx"), F.col("url").alias("text"))
 
 
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,3 +330,160 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).filter("r = 1").select("user_id", "event_id")
+
+
+def _joined(c: Column, by: str = " ") -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+
+
+def request_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = X.parse_head(F.concat(F.lit(" "), "method", F.lit("  "), "url", F.lit(" HTTP/1.1")))
+    return page_requests(spark, sf_dir).select("id", head.alias("h")).select("id", "h.method", "h.url")
+
+
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url"))
+
+
+def body_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as forms, multipart bodies and plain ones."""
+    body = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("k1.x="), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("-" * 29), "text")).otherwise(F.concat(F.lit("? "), "text"))
+    rows = table(spark, sf_dir, "conversations").select(X.is_form(body).alias("form"), X.is_multipart(body).alias("multipart"), X.is_parameter_name(F.concat("role", F.when(F.col("turn") % 2 == 0, " x").otherwise("_x"))).alias("named"))
+    return rows.groupBy("form", "multipart", "named").agg(F.count("*").alias("n"))
+
+
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", _words(F.col("text")).alias("tokens"))
+
+
+def vocabulary_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.vocabulary(vocabulary.token_counts(_doc_tokens(spark, sf_dir)), 20, 3)
+
+
+def placeholder_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_tokens(spark, sf_dir)
+    known = vocabulary.token_counts(rows).filter("n >= 50").select("token").distinct()
+    return vocabulary.placeholders(rows, known, key="doc_id").select("doc_id", F.sha2("seq", 256).alias("seq_sha256"))
+
+
+def sequence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.sequence_vocabulary(table(spark, sf_dir, "conversations").select(F.array_join(_words(F.col("text")), " ").alias("seq")))
+
+
+def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = X.first_pairs(X.query_pairs(F.concat(X.url_parts(F.col("url"))["query"], F.lit("&page=9&z=1&z=2"))))
+    shown = F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"]))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(shown, "&").alias("pairs"))
+
+
+def json_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as POST requests with JSON bodies."""
+    rows = table(spark, sf_dir, "events").select(F.lit("post").alias("method"), F.concat(F.lit("/api/"), "event_type").alias("url"), F.col("props").alias("body"), F.create_map(F.lit("Content-Type"), F.lit("application/json")).alias("headers"))
+    return structure.identified(rows, json=True).groupBy("identifier").agg(F.count("*").alias("n"))
+
+
+def json_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("/a?q=1").alias("url"), F.col("props").alias("body"))
+    return structure.parameters(rows, json=True).groupBy("param", "value").agg(F.count("*").alias("n"))
+
+
+def shape_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", _joined(X.shape_codes(F.col("url"))).alias("codes"))
+
+
+def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(X.characters(F.col("text"))).alias("c")).groupBy(F.hex("c").alias("c")).agg(F.count("*").alias("n"))
+
+
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.concat(F.lit('"\x01 '), F.col("text"), F.lit(' \t\x7f"'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(X.clean_string(noisy), 256).alias("string_sha256"), F.sha2(X.clean_line(noisy), 256).alias("line_sha256"))
+
+
+def filled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = X.filled(F.lit("{role} says: {text} ({role}, {other})"), role=F.col("role"), text=F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
+def escaped_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.regex_escape(F.concat(F.lit("(.*) "), "url")).alias("pattern"))
+
+
+def signature_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signature = X.signature_of(F.concat("url", F.lit(' "x%41  y"\\')))
+    return table(spark, sf_dir, "pages").select("page_id", signature.alias("signature"), X.signature_length(signature).cast("long").alias("n"))
+
+
+def aligned_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = X.aligned(X.http_parts(F.col("method"), F.col("url"), F.col("body")))
+    return page_requests(spark, sf_dir).select("id", F.size(parts).cast("long").alias("parts"), F.array_join(X.all_tokens(parts), " ").alias("tokens"))
+
+
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = X.aligned(X.http_parts(F.col("method"), F.col("url"), F.col("body")), X.word_tokens)
+    return page_requests(spark, sf_dir).select("id", F.array_join(X.all_tokens(parts), " ").alias("tokens"))
+
+
+def parts_with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.concat(F.lit("Host: h\n \nX-Id: "), F.col("id").cast("string"))
+    parts = X.http_parts(F.col("method"), F.col("url"), F.lit("a=1&b=2"), headers=headers)
+    return page_requests(spark, sf_dir).select("id", F.array_join(parts, " | ").alias("parts"))
+
+
+def custom_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit(" { role: "), "role", F.lit(" , turn:"), F.col("turn").cast("string"), F.lit(" } "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.custom_body(body), "|").alias("parts"))
+
+
+def identifier_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    identifier = F.concat(F.lit("GET|"), F.col("url"))
+    code = X.encode_identifier(identifier)
+    return table(spark, sf_dir, "pages").select("page_id", code.alias("code"), X.decode_identifier(code).alias("identifier"))
+
+
+def event_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lag = X.lag_of(F.col("event_id") % 100, F.col("user_id") % 60 - 5)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(lag).cast("long").alias("lag"), F.round(F.avg(X.sigmoid(F.col("value") / 100)), 6).alias("mean"))
+
+
+def union_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Denied requests and finished analyses, by the hour."""
+    events = table(spark, sf_dir, "events").withColumn("end", F.when(F.col("user_id") % 3 != 0, F.col("ts")))
+    both = dashboard.times_of((events.filter("event_type = 'error'"), "ts"), (events.filter("event_type = 'view'"), "end"))
+    return dashboard.counted(both, "ts", 3_600)
+
+
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return evaluate.by_position(rows.select("vec_id"), rows.select(F.col("label").alias("y"), F.col("vec_id").alias("other")), [F.col("vec_id")], [F.desc("other")])
+
+
+def reportable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(writers.is_reportable(F.col("label"))).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select((F.col("page_id") % 25).alias("cluster"), F.col("page_id").alias("idx"), F.col("url").alias("text"))
+
+
+def clusters_without_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.without_outlier(_page_clusters(spark, sf_dir)).select("cluster", "idx")
+
+
+def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _page_clusters(spark, sf_dir)
+    a, b = rows.toDF("cluster", "i", "s"), rows.toDF("cluster", "j", "t")
+    d = a.join(b, "cluster").select("cluster", "i", "j", F.levenshtein("s", "t").alias("d"))
+    return signatures.representative(rows, d)
+
+
+def rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = F.concat(F.lit("Types: Query:p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ", Body:a$b").otherwise(""), F.lit(", Path, Body:id, others"))
+    return table(spark, sf_dir, "pages").select("page_id", signatures.rule_targets(types).alias("targets"))
+
+
+def list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-worker lists of a user's event ids, merged in the order of the workers."""
+    rows = table(spark, sf_dir, "events")
+    part = lambda k: rows.filter(F.col("event_id") % 3 == k).groupBy(F.col("user_id").alias("key")).agg(F.array_sort(F.collect_list("event_id")).alias("values"))
+    return vocabulary.merged_lists(part(0), part(1), part(2)).select("key", _joined(F.col("values"), ",").alias("ids"))

@@ -12,7 +12,11 @@ NAMES = (
     "attack_label_extract final_answer_extract prompt_split length_histogram length_totals error_rate_tumbling error_rate_10s "
     "adaptive_bucket dedup_keep_last row_hash_dedup attack_type_topk totals paged_search retention_7d props_json_extract status_router "
     "request_lines url_split url_word_tokens similar_pairs cluster_assign cluster_size_histogram signature_rules containment_bucket "
-    "hmm_anomaly_verdict stage_resume two_stage_classification stream_vs_batch_counts latest_event"
+    "hmm_anomaly_verdict stage_resume two_stage_classification stream_vs_batch_counts latest_event "
+    "request_heads canonical_urls body_kinds vocabulary_by_class placeholder_sequences sequence_words first_pairs json_identifiers "
+    "json_parameters shape_code_lists character_counts clean_texts filled_prompts escaped_patterns signature_patterns aligned_characters "
+    "aligned_words parts_with_headers custom_bodies identifier_codec event_lags union_rate positional_join reportable_labels "
+    "clusters_without_outlier cluster_medoids rule_fields list_merge"
 ).split()
 
 

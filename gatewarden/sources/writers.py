@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,19 @@ def dead_letters(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def dump_tasks(tasks: DataFrame, path: str) -> None:
-    """Tasks as JSON lines."""
-    tasks.write.mode("overwrite").json(path)
+    """Tasks as JSON arrays, one a file, which ``readers.tasks`` reads back; a partition's array is written as it comes."""
+
+    def as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append(before + value)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    tasks.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(as_array, "value string").write.mode("overwrite").text(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -222,3 +222,31 @@ def test_inference(spark, frame):
 def test_shuffle_is_seeded(spark):
     order = lambda seed, n: [r.id for r in dashboard.shuffled(spark.range(50).repartition(n), seed).collect()]
     assert order(1, 2) == order(1, 5) != order(2, 2) and sorted(order(1, 2)) == list(range(50))
+
+
+def test_nearest_against_brute_force(frame, monkeypatch):
+    """Blocks, rounds, ties, null vectors and repeated rows."""
+    import random
+
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "ROUND", 200)
+    rng = random.Random(3)
+    store = [(k, [float(rng.randint(0, 3)) for _ in range(4)]) for k in range(60)] + [(99, None), (5, [1.0, 1.0, 1.0, 1.0])]
+    queries = [(q, store[q][1]) for q in range(0, 60, 4)]
+    got = retrieve.nearest(frame(queries, "query_id bigint, embedding array<double>"), frame(store, "vec_id bigint, embedding array<double>"), 5).collect()
+    for q, v in queries:
+        want = sorted((round(sum((x - y) ** 2 for x, y in zip(v, w, strict=True)) ** 0.5, 9), i) for i, w in store if w)[:5]
+        assert [(r.distance, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_by_position(frame):
+    left, right = frame([(3,), (1,), (2,)], "a int"), frame([("x",), ("z",), ("y",)], "b string")
+    got = evaluate.by_position(left, right, [F.col("a")], [F.col("b")])
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y"), (3, "z")]
+    with pytest.raises(ValueError):
+        evaluate.by_position(left, right.limit(2), [F.col("a")], [F.col("b")])
+
+
+def test_merged_lists(frame):
+    a, b = frame([("a", ["a", "b"]), ("b", ["10"])], "key string, values array<string>"), frame([("c", ["1"]), ("a", ["bb"]), ("b", ["z"])], "key string, values array<string>")
+    assert {r.key: r["values"] for r in vocabulary.merged_lists(a, b).collect()} == {"a": ["a", "b", "bb"], "b": ["10", "z"], "c": ["1"]}

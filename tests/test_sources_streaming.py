@@ -114,3 +114,13 @@ def test_stream_counts_and_dedup(spark, tmp_path):
 def test_unknown_source_needs_connector(spark):
     with pytest.raises(Exception, match="kafka"):
         stages.messages(spark, "kafka", "localhost:9092", "waf")
+
+
+def test_tasks_round_trip(spark, frame, tmp_path):
+    """What is dumped is read back, from files of several rows, of one, and of none."""
+    rows = [(str(k), "ready" if k % 2 else "completed", k) for k in range(6)]
+    for parts in (1, 4, 8):
+        tasks = frame(rows, "id string, state string, label int").repartition(parts)
+        writers.dump_tasks(tasks, str(tmp_path / f"tasks{parts}"))
+        got = readers.tasks(spark, str(tmp_path / f"tasks{parts}")).filter("id IS NOT NULL")
+        assert sorted((r.id, r.state, r.label) for r in got.collect()) == rows
