@@ -264,6 +264,16 @@ def lag_of(high: Column, committed: Column) -> Column:
     return F.when(committed >= 0, F.greatest(F.lit(0), high - committed - 1)).otherwise(F.lit(0))
 
 
+def iso_now() -> Column:
+    """The query's start as an ISO time stamp without a zone, microseconds included."""
+    return iso(F.localtimestamp())
+
+
+def iso(time: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") -> Column:
+    """A time as text: in ISO form, or by a pattern."""
+    return F.date_format(time, pattern)
+
+
 def row_hash(*columns: Column, separator: str = "\x1f") -> Column:
     return F.sha2(F.concat_ws(separator, *[text(c.cast("string")) for c in columns]), 256)
 

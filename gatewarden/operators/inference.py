@@ -106,6 +106,16 @@ def input_length(system: Column, user: Column) -> Column:
     return F.length(text(system)) + F.length(text(user))
 
 
+def with_tokens(rows: DataFrame, column: str, count: Callable[[list[str]], list[int]], to: str = "n_tokens") -> DataFrame:
+    """``rows`` with the tokens of a column as a tokenizer counts them, in batches; null counts as empty."""
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series(count([t or "" for t in texts]), index=texts.index, dtype="int64")
+
+    return rows.withColumn(to, counted(column))
+
+
 def message_input(request: DataFrame, column: str = "request") -> Column:
     """System and user parts on two lines for structs, the string itself for strings."""
     kind = dict(request.dtypes)[column]
@@ -116,12 +126,28 @@ def message_input(request: DataFrame, column: str = "request") -> Column:
     return F.col(column)
 
 
+#: Models that need a named template, by name or by a part of it; others bring their own.
+NAMED_TEMPLATES = {"LLM-Research/Meta-Llama-3.1-8B-Instruct": "llama3_1", "LLM-Research/Llama-3.2-3B-Instruct": "llama3_2"}
+PART_TEMPLATES = {"Llama_3-8b": "llama3"}
+
+
 def chat_template(model: str) -> str:
     """The family of templates a model's name stands for."""
     name = model.lower()
     return next((f for f in ("qwen", "llama", "mistral", "deepseek", "gemma") if f in name), "plain")
 
 
+def named_template(model: str) -> str | None:
+    """The template that a model's client must be started with; None where the model's own will do."""
+    return NAMED_TEMPLATES.get(model) or next((t for part, t in PART_TEMPLATES.items() if part in model), None)
+
+
+def chat_prompt(system: Column, user: Column) -> Column:
+    """A system and a user message in the published format of the third Llama generation, ready for the answer."""
+    turn = lambda role, c: F.concat(F.lit(f"<|start_header_id|>{role}<|end_header_id|>\n\n"), text(c), F.lit("<|eot_id|>"))
+    return F.concat(F.lit("<|begin_of_text|>"), turn("system", system), turn("user", user), F.lit("<|start_header_id|>assistant<|end_header_id|>\n\n"))
+
+
 def echo_client(pairs: list[tuple[str, str]]) -> list[str]:
     """Answers by rule: names a quoted or angle-bracketed part, and a kind by what it holds."""
     out = []

@@ -32,6 +32,28 @@ _PREDICTED = """
 _LABELS = ("normal", "SQL Injection", "Forced Browsing", "Path Traversal", "Cross-site Scripting", "XML Injection", "OS Command Injection", "LDAP Injection", "Remote Code Execution", "Others")
 _NAMES = "[" + ", ".join(f"'{x}'" for x in _LABELS) + "]"
 _PAYLOADS = "SELECT page_id AS idx, url AS text FROM pages"
+
+
+def _clusters(rows: str) -> str:
+    """Clusters of rows (g, idx, text): a round takes each group's first edge in order of (d, i, j) and drops those of its j."""
+    return f"""
+      WITH RECURSIVE p AS (SELECT * FROM ({rows}) WHERE text <> ''),
+      e AS (SELECT a.g, a.idx AS i, b.idx AS j, levenshtein(a.text, b.text) AS d FROM p a JOIN p b ON a.g = b.g AND a.idx < b.idx
+            WHERE length(a.text) / length(b.text) BETWEEN 0.667 AND 1.5 AND levenshtein(a.text, b.text) < (length(a.text) + length(b.text)) / 4),
+      rounds AS (
+        SELECT 0 AS k, g, i, j, d FROM e
+        UNION ALL
+        SELECT k + 1, g, i, j, d FROM (SELECT *, first_value(j) OVER (PARTITION BY g ORDER BY d, i, j) AS gone FROM rounds) WHERE i <> gone AND j <> gone),
+      up AS (SELECT i AS into_, j AS node FROM rounds QUALIFY row_number() OVER (PARTITION BY k, g ORDER BY d, i, j) = 1),
+      chase AS (
+        SELECT node, into_ AS goal FROM up
+        UNION ALL
+        SELECT c.node, u.into_ FROM chase c JOIN up u ON u.node = c.goal),
+      top AS (SELECT node, goal FROM chase WHERE goal NOT IN (SELECT node FROM up))
+      SELECT g, idx, coalesce(goal, idx) AS cluster FROM p LEFT JOIN top ON node = idx"""
+
+
+_SIZE_BINS = "[[1, 1], [2, 2], [3, 5], [6, 10], [11, 20], [21, 50], [51, 100], [101, NULL]]"
 _SHORT = {"Path Traversal": "traversal", "Cross-site Scripting": "xss", "XML Injection": "xxe", "Remote Code Execution": "rce"}
 _CASES = " ".join(f"WHEN contains(t, '{_SHORT.get(x, x).lower()}') OR contains(t, '{x.lower()}') THEN {i}" for i, x in enumerate(_LABELS))
 
@@ -40,6 +62,17 @@ _IS_BASE = "(regexp_matches(token, '^[0-9a-z]{12,}$') AND regexp_matches(token,
 _IS_CODE = f"({_IS_HEX} OR {_IS_BASE})"
 _FIXED = "[" + ", ".join(f"'{t}'" for t in PREDEFINED) + "]"
 
+_KIND = """CASE WHEN contains(t, '<') THEN 'Cross-site Scripting' WHEN contains(t, '''') OR contains(lower(t), ' or ') THEN 'SQL Injection'
+           WHEN contains(t, '../') THEN 'Path Traversal' ELSE 'normal' END"""
+_RULED = f"""
+  SELECT task_id, 'completed' AS state, CAST(list_position({_NAMES}, kind) - 1 AS INTEGER) AS y_pred, kind AS attack_type
+  FROM (SELECT page_id AS task_id, {_KIND} AS kind
+        FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || ''' or 1=1' WHEN 1 THEN url || '/../../etc' WHEN 2 THEN url || '<b>' ELSE url END AS t FROM pages))"""
+_LEAST = """
+  SELECT topic, partition, lag
+  FROM (SELECT event_type AS topic, user_id % 5 AS partition, CASE WHEN min(event_id) - 7 >= 0 THEN greatest(0, max(event_id) - min(event_id) + 6) ELSE 0 END AS lag
+        FROM events GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY lag, partition) = 1"""
 SQL = {
     "structure_identifier_counts": f"SELECT identifier, count(*) AS requests FROM ({_ID}) GROUP BY identifier",
     "param_values_by_structure": f"""
@@ -239,4 +272,38 @@ SQL = {
     "rule_fields": """
       SELECT page_id, 'ARGS_GET:p' || page_id || CASE WHEN page_id % 2 = 0 THEN '|ARGS|REQUEST_BODY|REQUEST_FILENAME|ARGS|REQUEST_BODY|REQUEST_URI' ELSE '|REQUEST_FILENAME|ARGS_POST:id|REQUEST_URI' END AS targets FROM pages""",
     "list_merge": "SELECT user_id AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id % 3, event_id) AS ids FROM events GROUP BY user_id",
+    "cluster_assign": f"SELECT idx, cluster FROM ({_clusters('SELECT 0 AS g, * FROM (' + _PAYLOADS + ')')})",
+    "cluster_size_histogram": f"""
+      WITH s AS (SELECT cluster, count(*) AS size FROM ({_clusters('SELECT 0 AS g, * FROM (' + _PAYLOADS + ')')}) GROUP BY cluster),
+      b AS (SELECT unnest({_SIZE_BINS}) AS b)
+      SELECT CASE WHEN b[2] IS NULL THEN b[1] || '+' ELSE b[1] || '-' || b[2] END AS bin, count(size) AS n
+      FROM b LEFT JOIN s ON size >= b[1] AND (b[2] IS NULL OR size <= b[2]) GROUP BY b""",
+    "task_clusters": f"SELECT g AS task, idx, cluster FROM ({_clusters('SELECT idx % 4 AS g, * FROM (' + _PAYLOADS + ')')})",
+    "two_stage_classification": f"""
+      SELECT {_KIND} AS attack_type, count(*) AS n
+      FROM (SELECT CASE page_id % 4 WHEN 0 THEN url || ''' or 1=1' WHEN 1 THEN url || '/../../etc' ELSE replace(url, '''', '') END AS t FROM pages) GROUP BY 1""",
+    "direct_classification": _RULED,
+    "one_stage_classification": _RULED,
+    "realtime_attacks": f"SELECT y_pred, count(*) AS n FROM ({_PREDICTED}) WHERE y_pred NOT IN (0, 9, 10) GROUP BY y_pred",
+    "chat_prompts": """
+      SELECT conv_id, turn, sha256('<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || coalesce(role, '') ||
+             '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || coalesce(text, '') ||
+             '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) AS prompt_sha256 FROM conversations""",
+    "message_inputs": "SELECT conv_id, turn, sha256(role || chr(10) || text) AS input_sha256, length(role) + length(text) AS n FROM conversations",
+    "turn_tokens": """
+      WITH t AS (SELECT len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS n FROM conversations)
+      SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS average, CAST(sum(n) AS BIGINT) AS total FROM t""",
+    "abnormal_rows": """
+      SELECT conv_id, turn, sha256(text) AS text_sha256, 'others' AS type FROM conversations
+      WHERE turn % 2 = 0 AND conv_id % 3 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""",
+    "detection_counters": """
+      WITH r AS (SELECT event_type IN ('error', 'click') AS p, event_type = 'click' AS u, user_id % 3 <> 0 AS b FROM events)
+      SELECT count(*) FILTER (p AND b) AS tp, count(*) FILTER (p AND NOT b) AS fp, count(*) FILTER (NOT p AND NOT b) AS tn,
+             count(*) FILTER (NOT p AND b) AS fn, count(*) FILTER (u) AS unknown, count(*) AS total FROM r""",
+    "least_lag": _LEAST,
+    "outgoing_messages": f"SELECT 'error' AS topic, CAST(event_id AS VARCHAR) AS key, props AS value, CAST((SELECT partition FROM ({_LEAST}) WHERE topic = 'error') AS INTEGER) AS partition FROM events WHERE event_type = 'error'",
+    "time_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown FROM events",
+    "rate_axis": "SELECT round(max(n) * 1.2::DOUBLE, 6) AS bound FROM (SELECT count(*) AS n FROM events WHERE event_type = 'error' GROUP BY date_trunc('hour', ts))",
+    "unescaped_texts": r"SELECT conv_id, turn, sha256('Aé\u00zz' || text || '你') AS body_sha256 FROM conversations",
+    "unquoted_urls": "SELECT page_id, 'A ' || url || ' ' AS part FROM pages",
 }

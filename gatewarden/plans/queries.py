@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatewarden.functions import arrow
 from gatewarden.functions import text as X
 from gatewarden.functions.arrow import NormaliserConfig
 from gatewarden.operators import dashboard, evaluate, inference, retrieve, signatures, structure, vocabulary
@@ -487,3 +488,98 @@ def list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     part = lambda k: rows.filter(F.col("event_id") % 3 == k).groupBy(F.col("user_id").alias("key")).agg(F.array_sort(F.collect_list("event_id")).alias("values"))
     return vocabulary.merged_lists(part(0), part(1), part(2)).select("key", _joined(F.col("values"), ",").alias("ids"))
+
+
+def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs, every fourth with a payload, as tasks of a client that answers by rule."""
+    u = F.col("url")
+    payload = F.when(F.col("id") % 4 == 0, F.concat(u, F.lit("' or 1=1"))).when(F.col("id") % 4 == 1, F.concat(u, F.lit("/../../etc"))).when(F.col("id") % 4 == 2, F.concat(u, F.lit("<b>"))).otherwise(u)
+    return page_requests(spark, sf_dir).select(F.col("id").alias("task_id"), payload.alias("request"), F.lit(None).cast("string").alias("response"), F.lit("ready").alias("state"))
+
+
+def direct_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.direct(_by_rule(spark, sf_dir), inference.echo_client).select("task_id", "state", "y_pred", "attack_type")
+
+
+def one_stage_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), F.col("text").alias("page_content"), F.lit("others").alias("attack_category"))
+    store = inference.embedded(store, "page_content", inference.hash_encoder)
+    out = inference.one_stage(_by_rule(spark, sf_dir), inference.echo_client, inference.hash_encoder, store)
+    return out.select("task_id", "state", "y_pred", "attack_type")
+
+
+def realtime_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.realtime_results(_predicted(spark, sf_dir))
+    return out.groupBy("y_pred").agg(F.count("*").alias("n"))
+
+
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = inference.chat_prompt(F.col("role"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
+def message_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("request", F.struct(F.col("role").alias("system"), F.col("text").alias("user")))
+    length = inference.input_length(F.col("request.system"), F.col("request.user")).cast("long")
+    return rows.select("conv_id", "turn", F.sha2(inference.message_input(rows), 256).alias("input_sha256"), length.alias("n"))
+
+
+def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a tokenizer that takes runs of letters for tokens."""
+    import re
+
+    letters = re.compile("[A-Za-z]+")
+    rows = inference.with_tokens(table(spark, sf_dir, "conversations"), "text", lambda texts: [len(letters.findall(t)) for t in texts])
+    return evaluate.length_stats(rows.select(F.col("n_tokens").alias("n")), "n")
+
+
+def abnormal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as tasks, every other one finished, every third without a finding."""
+    state = F.when(F.col("turn") % 2 == 0, inference.COMPLETED).otherwise(inference.READY)
+    found = F.when(F.col("conv_id") % 3 != 0, F.col("text")).otherwise("  ")
+    tasks = table(spark, sf_dir, "conversations").select("conv_id", "turn", state.alias("state"), found.alias("predicted_malicious"))
+    return signatures.abnormal_parts(tasks).select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), "type")
+
+
+def task_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs of four tasks, clustered at once."""
+    rows = _payloads(spark, sf_dir).withColumn("task", F.col("idx") % 4)
+    return signatures.clusters(rows, signatures.similar_pairs(rows, within="task")).select("task", "idx", "cluster")
+
+
+def detection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("event_type") == "error", "attack").when(F.col("event_type") == "click", "unknown_structure").otherwise("normal")
+    return structure.counters(table(spark, sf_dir, "events").select(verdict.alias("verdict"), (F.col("user_id") % 3).alias("label")))
+
+
+def least_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as topics: of each the partition that is least behind."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 5).alias("partition"))
+    return dashboard.router_lags(rows.agg(F.max("event_id").alias("high"), (F.min("event_id") - 7).alias("committed")))
+
+
+def outgoing_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as messages to the partition that is least behind."""
+    from gatewarden.streaming import stages
+
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    out = stages.outgoing(rows, "error", F.col("props"), F.col("event_id").cast("string"), least_lag(spark, sf_dir))
+    return out.select("topic", "key", "value", "partition")
+
+
+def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", X.iso(F.col("ts")).alias("iso"), X.iso(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+def rate_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.axis_bound(error_rate_tumbling(spark, sf_dir)).select(F.round("bound", 6).alias("bound"))
+
+
+def unescaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = arrow.unescaped(F.concat(F.lit("\\u0041\\u00e9\\u00zz"), "text", F.lit("\\u4F60")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(body, 256).alias("body_sha256"))
+
+
+def unquoted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = arrow.unquoted_fully(F.concat(F.lit("%252541+"), "url", F.lit("%2525252B")))
+    return table(spark, sf_dir, "pages").select("page_id", part.alias("part"))

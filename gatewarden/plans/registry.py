@@ -16,7 +16,9 @@ NAMES = (
     "request_heads canonical_urls body_kinds vocabulary_by_class placeholder_sequences sequence_words first_pairs json_identifiers "
     "json_parameters shape_code_lists character_counts clean_texts filled_prompts escaped_patterns signature_patterns aligned_characters "
     "aligned_words parts_with_headers custom_bodies identifier_codec event_lags union_rate positional_join reportable_labels "
-    "clusters_without_outlier cluster_medoids rule_fields list_merge"
+    "clusters_without_outlier cluster_medoids rule_fields list_merge "
+    "direct_classification one_stage_classification realtime_attacks chat_prompts message_inputs turn_tokens abnormal_rows task_clusters "
+    "detection_counters least_lag outgoing_messages time_stamps rate_axis unescaped_texts unquoted_urls"
 ).split()
 
 

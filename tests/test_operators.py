@@ -250,3 +250,70 @@ def test_by_position(frame):
 def test_merged_lists(frame):
     a, b = frame([("a", ["a", "b"]), ("b", ["10"])], "key string, values array<string>"), frame([("c", ["1"]), ("a", ["bb"]), ("b", ["z"])], "key string, values array<string>")
     assert {r.key: r["values"] for r in vocabulary.merged_lists(a, b).collect()} == {"a": ["a", "b", "bb"], "b": ["10", "z"], "c": ["1"]}
+
+
+def test_clusters_of_chains_and_ties(frame):
+    """Edges in an order in which a node is taken, or saved, by what came before."""
+    edges = [(0, 1, 3), (1, 2, 1), (2, 3, 2), (0, 3, 3), (3, 4, 1), (4, 5, 1), (1, 5, 4), (6, 7, 0)]
+    up = {}
+    for i, j, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if i not in up and j not in up:
+            up[j] = i
+    got = signatures.merged(frame(edges, "i long, j long, d int"))
+    assert {r.node: r.into for r in got.collect()} == up
+    rows = frame([(k, str(k)) for k in range(8)], "idx long, text string")
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    got = signatures.clusters(rows, frame(edges, "i long, j long, d int"))
+    assert {r.idx: r.cluster for r in got.collect()} == {k: top(k) for k in range(8)}
+    none = frame([], "i long, j long, d int")
+    assert {r.idx: r.cluster for r in signatures.clusters(rows, none).collect()} == {k: k for k in range(8)}
+
+
+def test_signatures_of_many_tasks(frame):
+    """Tasks at once give what each alone gives; findings of one task don't meet those of another."""
+    texts = ["/../../boot.ini?x=1", "/../../boot.inx?x=1", "<script>alert(1)</script>", "<script>alert(22)</script>", "id=1' or 1=1 union", " "]
+    done = [(t, n, x, "completed" if n != 4 or t else "ready") for t in (0, 1, 2) for n, x in enumerate(texts)]
+    tasks = frame(done, "run long, n long, predicted_malicious string, state string")
+    rows = signatures.abnormal_parts(tasks)
+    assert {(r.type, r.text.strip() != "") for r in rows.collect()} == {("others", True)}
+    assert rows.count() == 3 * 5 - 1
+    cols = ["run", "size", "members", "types", "signature", "is_short", "is_part"]
+    together = signatures.signatures_of_tasks(rows, "run", "n").select(cols).collect()
+    apart = [r for t in (0, 1, 2) for r in signatures.signatures_of_tasks(rows.filter(f"run = {t}"), "run", "n").select(cols).collect()]
+    assert sorted(map(str, together)) == sorted(map(str, apart))
+    assert {r.run for r in together} == {0, 1, 2}
+
+
+def test_contained_short_and_long(frame):
+    random.seed(5)
+    words = ["".join(random.choice("ab") for _ in range(random.randint(1, 14))) for _ in range(60)]
+    want = {s for s in words if any(s != t and s in t for t in words)}
+    assert {r.s for r in signatures.contained(frame([(w,) for w in words] + [("",), (None,)], "s string"), "s").collect()} == want
+
+
+def test_templates_tokens_and_stamps(frame):
+    assert inference.named_template("LLM-Research/Llama-3.2-3B-Instruct") == "llama3_2"
+    assert inference.named_template("x/Llama_3-8b-y") == "llama3" and inference.named_template("Qwen2.5") is None
+    rows = inference.with_tokens(frame([("a b",), (None,), ("",)], "t string"), "t", lambda xs: [len(x.split()) for x in xs])
+    assert sorted(r.n_tokens for r in rows.collect()) == [0, 0, 2]
+    from datetime import datetime
+
+    from gatewarden.functions import text
+
+    assert datetime.fromisoformat(frame([(1,)], "x int").select(text.iso_now().alias("t")).first().t).year >= 2024
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from gatewarden.functions import lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(session)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gatewarden.operators import dashboard, structure
+from gatewarden.operators import dashboard, inference, structure
 from gatewarden.sources import readers, writers
 from gatewarden.streaming import stages
 
@@ -124,3 +124,57 @@ def test_tasks_round_trip(spark, frame, tmp_path):
         writers.dump_tasks(tasks, str(tmp_path / f"tasks{parts}"))
         got = readers.tasks(spark, str(tmp_path / f"tasks{parts}")).filter("id IS NOT NULL")
         assert sorted((r.id, r.state, r.label) for r in got.collect()) == rows
+
+
+def test_lag_records_and_log(tmp_path):
+    latest = '{"hmm": {"0": 10, "1": 5, "2": 3}}'
+    got = stages.lag_records('{"hmm": {"0": 4, "1": 5}}', latest, "t")
+    assert [(r["partition"], r["current_offset"], r["latest_offset"], r["lag"]) for r in got] == [(0, 4, 10, 5), (1, 5, 5, 0), (2, -1, 3, 0)]
+    assert stages.lag_records("FileStreamSource", '{"logOffset": 1}', "t") == [] and stages.lag_records(None, None, "t") == []
+    from types import SimpleNamespace
+
+    source = SimpleNamespace(description="k", numInputRows=1, endOffset='{"hmm": {"0": 4}}', latestOffset=latest)
+    event = SimpleNamespace(progress=SimpleNamespace(sources=[source], batchId=1, timestamp="t"))
+    monitor = stages.LagMonitor(str(tmp_path / "lag.jsonl"), seconds=60, most=2)
+    for _ in range(3):
+        monitor.onQueryProgress(event)
+    lines = [json.loads(x) for x in (tmp_path / "lag.jsonl").read_text().splitlines()]
+    assert len(lines) == 3 and len(monitor.records) == 2 and lines[0]["topic"] == "hmm"
+
+
+def test_messages_to_chosen_partitions(spark, frame):
+    offsets = frame([("hmm", 0, 10, 4), ("hmm", 1, 10, 8), ("waf", 0, 5, 5)], "topic string, partition int, high long, committed long")
+    rows = frame([("k", "v")], "k string, v string")
+    to = lambda topic: stages.outgoing(rows, topic, F.col("v"), F.col("k"), dashboard.router_lags(offsets)).first()
+    assert to("hmm").asDict() == {"topic": "hmm", "key": "k", "value": "v", "partition": 1}
+    assert to("waf").partition == 0 and to("other").partition is None
+    assert stages.outgoing(rows, "hmm", F.col("v")).first().partition is None
+
+
+def test_smoke_pair(spark, tmp_path):
+    stages.smoke_messages(spark).select("value").write.text(str(tmp_path / "in"))
+    stream = stages.paced(spark, "files", str(tmp_path / "in"), per_second=1, seconds=2)
+    stages.shown(stream, str(tmp_path / "cp"), "memory", "smoke").awaitTermination()
+    assert sorted(r.value for r in spark.table("smoke").collect()) == ["Message 0", "Message 1", "Message 2"]
+
+
+def test_classification_asks_once_and_writes_attacks(spark, frame, tmp_path):
+    (tmp_path / "in").mkdir()
+    _write(tmp_path / "in" / "a.txt", [{"id": "1", "url": "/a?x=<b>"}, {"id": "2", "url": "/plain"}])
+    stream = stages.requests(stages.messages(spark, "files", str(tmp_path / "in")))
+
+    def classify(batch):
+        rows = batch.select("id", F.col("url").alias("request"), F.lit(None).cast("string").alias("response"))
+        return inference.direct(rows, inference.echo_client)
+
+    stages.classification(stream, classify, str(tmp_path / "out"), str(tmp_path / "cp"), attacks=str(tmp_path / "attacks")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert [r.id for r in spark.read.json(str(tmp_path / "attacks")).collect()] == ["1"]
+
+
+def test_persisted_rows_are_freed_on_failure(frame):
+    rows = frame([(1,)], "x int")
+    with pytest.raises(ValueError), stages.kept(rows) as held:
+        assert held.is_cached
+        raise ValueError
+    assert not rows.is_cached
