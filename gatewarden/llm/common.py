@@ -53,12 +53,15 @@ def others(df: DataFrame, *names: str) -> list:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a folder of our own only where none is named (tests)."""
+    """The folder all executors share, as the cluster names it; where none is named, a folder of our own in local mode
+    (tests), an error on a cluster."""
     conf, context = "spark.checkpoint.dir", spark.sparkContext
     folder = spark.conf.get(conf, None) or context.getConf().get(conf, None)
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="gatewarden-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -174,3 +174,19 @@ def test_pipeline_keeps_clashing_columns(frame, spark):
         assert got.columns == docs.columns, name
         assert got.filter("doc_id = 1").first()[2:] == ("en", "q", "t")
     assert pipeline.STAGES[0][1](spark, docs, SF).filter(F.col("doc_id") == 2).count() == 0
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gatewarden.llm import common
+
+    def session(master):
+        none = SimpleNamespace(get=lambda key, default=None: default)
+        context = SimpleNamespace(master=master, getConf=lambda: none, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf=none)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+    assert common.shared_dir(session("local[4]"))
