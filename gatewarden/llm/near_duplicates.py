@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm import simhash
-from gatewarden.llm.common import written
+from gatewarden.llm.common import released, written
 from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_each, shingle_hashes
 
 #: Words of a shingle; the least similarity, as a fraction.
@@ -142,10 +142,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the candidates among ``own`` (key, n, prefix, sketch), a table in which keys repeat."""
-    rows = own.select("key", "n", "prefix").dropDuplicates(["key"]).select("key", "n", F.explode(F.array_distinct("prefix")).alias("element"))
-    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("element"))).filter("times > 1")
-    rows = rows.select("element", "key", "n", _blocks(F.col("times")))
-    return _dealt(rows.join(own.select("key", "sketch").dropDuplicates(["key"]), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint").distinct()
+    once = written(own.select("key", "n", "prefix", "sketch").dropDuplicates(["key"]), "once")
+    rows = once.select("key", "n", F.explode(F.array_distinct("prefix")).alias("element"))
+    # Counted before they are shuffled: an element may be in a third of all prefixes.
+    times = rows.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
+    rows = rows.join(times, "element").select("element", "key", "n", _blocks(F.col("times")))
+    met = _dealt(rows.join(once.select("key", "sketch"), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint")
+    found = written(met.distinct(), "met")
+    released(once)
+    return found
 
 
 def alike(own: DataFrame) -> DataFrame:
@@ -202,7 +207,9 @@ def _compared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between keys that connect the sets that are linked; ``own``: the sets of ``docs``, a table."""
-    edges = written(candidates(own).union(alike(own)), "candidates")
+    met, near = candidates(own), alike(own)
+    edges = written(met.union(near), "candidates")
+    released(met)
     parts = components(edges)
     sizes = parts.groupBy("component").agg(_blocks(F.count("*")))
     whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()
