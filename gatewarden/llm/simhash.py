@@ -12,7 +12,7 @@ Trees travel by the exchange that builds them rather than by broadcast: broadcas
 every tree, whose number grows with the corpus.
 
 A group yields a spanning forest of its links, not all its pairs. Components come from alternating large-star and
-small-star rounds over these edges, each round a written table.
+small-star rounds over these edges, each round a written table; once SETTLED edges or fewer are left, one task joins them.
 
 Edge cases: a null or empty text has fingerprint 0 and links like any other; texts of one or two words hash their whole
 sequence; a null doc_id takes part in links but is never a component's id (null if no other is there); repeated rows are
@@ -37,6 +37,8 @@ from gatewarden.llm.common import released, table, written
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a shard's tree, on average; fingerprints a bucket should hold, which decides the number of blocks.
 SHARD, BUCKET = 512, 64
+#: Edges that one task may hold (about 150 MB of its memory).
+SETTLED = 500_000
 #: Node ids of fingerprints that only rows without doc_id have start here.
 NO_ID = 1 << 62
 _SLICE = 200_000
@@ -245,19 +247,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and the smallest node of their component, for all edges at once; smallest nodes themselves are left out."""
+    forest = _Forest()
+    for batch in batches:
+        for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            forest.join(a, b)
+    nodes = list(forest.up)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, [forest.top(n) for n in nodes])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges; the component is its smallest node. ``edges`` must be a table; it is
-    deleted, as are the tables of all rounds but the last."""
-    now, before = edges, None
-    while True:
+    """(node, component) for each node of the edges but the components' own; the component is its smallest node. ``edges``
+    must be a table; it is deleted, as are the tables of all rounds but the last."""
+    now, size, before = edges, edges.count(), None
+    while size > SETTLED:
         large = _large_star(now)
         after = _small_star(large)
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        size, mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         released(now, large)
         now = after
-        if mark == before:
+        if (size, mark) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = mark
+        before = size, mark
+    found = written(now.select("a", "b").coalesce(1).mapInArrow(_settled, "node bigint, component bigint"), "components")
+    released(now)
+    return found
 
 
 def rooted(fps: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:

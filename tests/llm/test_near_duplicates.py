@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from gatewarden.llm import near_duplicates
+from gatewarden.llm import near_duplicates, simhash
 from gatewarden.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -55,9 +55,10 @@ def _families(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_every_pair_of_the_bound_is_found(frame, monkeypatch, block):
+@pytest.mark.parametrize(("block", "settled"), [(1024, 500_000), (7, 0)])
+def test_every_pair_of_the_bound_is_found(frame, monkeypatch, block, settled):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETTLED", settled)
     docs = _families(block)
     got = near_duplicates.deduplicated(frame(docs, "doc_id bigint, text string"))
     assert {r.doc_id for r in got.collect()} == brute_kept(docs)

@@ -73,9 +73,10 @@ def _planted(seed, n=120):
 
 
 @pytest.mark.parametrize("blocks", [4, 5, 6, 7])
-@pytest.mark.parametrize("shard", [512, 3])
-def test_components(frame, monkeypatch, blocks, shard):
+@pytest.mark.parametrize(("shard", "settled"), [(512, 500_000), (3, 0)])
+def test_components(frame, monkeypatch, blocks, shard, settled):
     monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SETTLED", settled)
     monkeypatch.setattr(simhash, "blocks_for", lambda n: blocks)
     rows = _planted(blocks)
     fps = frame([(i, k, signed(f)) for k, (i, f) in enumerate(rows)], "doc_id bigint, row int, fp bigint")
@@ -93,7 +94,10 @@ def test_hot_bucket_is_split(frame, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_components(rows)
 
 
-def test_long_chain(frame):
+@pytest.mark.parametrize("settled", [500_000, 40, 0])
+def test_long_chain(frame, monkeypatch, settled):
+    """In one task, in rounds that end in one task, and in rounds alone."""
+    monkeypatch.setattr(simhash, "SETTLED", settled)
     chain, fp = [], 0
     for k in range(64):
         chain.append((100 - k, fp))
