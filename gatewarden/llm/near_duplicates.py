@@ -33,8 +33,9 @@ from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_
 
 #: Words of a shingle; the least similarity, as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Sets of a block, on average; one text in SAMPLE is counted for the order, and at most HOT elements come last.
-BLOCK, SAMPLE, HOT, BINS = 1024, 16, 200_000, 256
+#: Sets of a block, on average, when texts are compared and when sketches meet; one text in SAMPLE is counted for the
+#: order, and at most HOT elements come last.
+BLOCK, MEET, SAMPLE, HOT, BINS = 1024, 4096, 16, 200_000, 128
 _TOKENS = 4096
 
 
@@ -100,8 +101,8 @@ def _dealt(rows: DataFrame, group: str, *columns: str) -> DataFrame:
     return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "key")
 
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / BLOCK).cast("int").alias("blocks")
+def _blocks(n: Column, size: int) -> Column:
+    return F.ceil(n / size).cast("int").alias("blocks")
 
 
 def near(n: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -143,11 +144,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the candidates among ``own`` (key, n, prefix, sketch), a table in which keys repeat."""
     once = written(own.select("key", "n", "prefix", "sketch").dropDuplicates(["key"]), "once")
-    rows = once.select("key", "n", F.explode(F.array_distinct("prefix")).alias("element"))
+    rows = once.select("key", F.explode(F.array_distinct("prefix")).alias("element"))
     # Counted before they are shuffled: an element may be in a third of all prefixes.
     times = rows.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = rows.join(times, "element").select("element", "key", "n", _blocks(F.col("times")))
-    met = _dealt(rows.join(once.select("key", "sketch"), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint")
+    rows = rows.join(times, "element").select("element", "key", _blocks(F.col("times"), MEET))
+    met = _dealt(rows.join(once.select("key", "n", "sketch"), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint")
     found = written(met.distinct(), "met")
     released(once)
     return found
@@ -211,7 +212,7 @@ def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     edges = written(met.union(near), "candidates")
     released(met)
     parts = components(edges)
-    sizes = parts.groupBy("component").agg(_blocks(F.count("*")))
+    sizes = parts.groupBy("component").agg(_blocks(F.count("*"), BLOCK))
     whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()
     reps = own.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"))
     # A table, so that its size is known: if it is small, texts that take no part aren't moved.

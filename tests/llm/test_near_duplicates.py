@@ -58,6 +58,7 @@ def _families(seed):
 @pytest.mark.parametrize(("block", "settled"), [(1024, 500_000), (7, 0)])
 def test_every_pair_of_the_bound_is_found(frame, monkeypatch, block, settled):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "MEET", block)
     monkeypatch.setattr(simhash, "SETTLED", settled)
     docs = _families(block)
     got = near_duplicates.deduplicated(frame(docs, "doc_id bigint, text string"))
