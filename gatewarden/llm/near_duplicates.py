@@ -34,8 +34,9 @@ from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_
 #: Words of a shingle; the least similarity, as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Sets of a block, on average, when texts are compared and when sketches meet; one text in SAMPLE is counted for the
-#: order, and at most HOT elements come last.
+#: order, and at most HOT elements come last. Elements of a block's sets together, on average, when texts are compared.
 BLOCK, MEET, SAMPLE, HOT, BINS = 1024, 4096, 16, 200_000, 128
+HELD = 2_000_000
 _TOKENS = 4096
 
 
@@ -145,12 +146,16 @@ def candidates(own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the candidates among ``own`` (key, n, prefix, sketch), a table in which keys repeat."""
     once = written(own.select("key", "n", "prefix", "sketch").dropDuplicates(["key"]), "once")
     rows = once.select("key", F.explode(F.array_distinct("prefix")).alias("element"))
-    # Counted before they are shuffled: an element may be in a third of all prefixes.
-    times = rows.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = rows.join(times, "element").select("element", "key", _blocks(F.col("times"), MEET))
+    # Counted before they are shuffled: an element may be in a third of all prefixes. Elements in the same sets' prefixes
+    # connect the same sets, so one of them stands for all; keys are hashes, so their number and exclusive or tell the sets.
+    times = rows.groupBy("element").agg(F.count("*").alias("times"), F.bit_xor("key").alias("held")).filter("times > 1")
+    stands = times.groupBy("times", "held").agg(F.min("element").alias("element"))
+    # A table, so that its size is known: if it is small, the elements of all prefixes aren't moved again.
+    stands = written(stands.select("element", _blocks(F.col("times"), MEET)), "stands")
+    rows = rows.join(stands, "element").select("element", "key", "blocks")
     met = _dealt(rows.join(once.select("key", "n", "sketch"), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint")
     found = written(met.distinct(), "met")
-    released(once)
+    released(once, stands)
     return found
 
 
@@ -212,11 +217,13 @@ def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     edges = written(met.union(near), "candidates")
     released(met)
     parts = components(edges)
-    sizes = parts.groupBy("component").agg(_blocks(F.count("*"), BLOCK))
     whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()
-    reps = own.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"))
+    reps = own.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.max("n").alias("n"))
+    own_parts = written(whole.join(reps, F.col("node") == F.col("key")).select("component", "key", "n", "at.id", "at.row"), "parts")
+    blocks = F.greatest(*[F.ceil(n / most).cast("int") for n, most in ((F.count("*"), BLOCK), (F.sum("n"), HELD))])
+    sizes = own_parts.groupBy("component").agg(blocks.alias("blocks"))
     # A table, so that its size is known: if it is small, texts that take no part aren't moved.
-    nodes = written(whole.join(sizes, "component").join(reps, F.col("node") == F.col("key")).select("component", "blocks", "key", "at.id", "at.row"), "members")
+    nodes = written(own_parts.join(sizes, "component").select("component", "blocks", "key", "id", "row"), "members")
     dealt = _dealt(nodes.join(docs, ["id", "row"]), "component", "text")
     return dealt.mapInArrow(lambda batches: _compared(batches, size), "a bigint, b bigint")
 

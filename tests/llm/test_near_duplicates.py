@@ -7,7 +7,7 @@ import re
 import pytest
 
 from gatewarden.llm import near_duplicates, simhash
-from gatewarden.llm.common import table
+from gatewarden.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +65,24 @@ def test_every_pair_of_the_bound_is_found(frame, monkeypatch, block, settled):
     assert {r.doc_id for r in got.collect()} == brute_kept(docs)
 
 
+def test_elements_of_the_same_sets_meet_once(frame, monkeypatch):
+    rng = random.Random(4)
+    a = [f"w{rng.random()}" for _ in range(300)]
+    rows = frame([(0, 0, " ".join(a)), (1, 1, " ".join([*a, "end"]))], "id bigint, row bigint, text string")
+    met, dealt = [], near_duplicates._dealt
+    monkeypatch.setattr(near_duplicates, "_dealt", lambda x, *columns: met.append(x.count()) or dealt(x, *columns))
+    found = near_duplicates.candidates(written(near_duplicates.sets(rows), "sets"))
+    assert found.count() == 1
+    assert met[0] <= 6  # not one row for each of some sixty shared elements and set
+
+
+def test_blocks_of_few_elements_lose_no_pair(frame, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HELD", 300)
+    docs = _families(3)
+    got = near_duplicates.deduplicated(frame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == brute_kept(docs)
+
+
 def test_links_are_exact():
     a = [f"w{k}" for k in range(24)]  # 20 shingles; two words less leave 18, five less 15
     sets = [near_duplicates.shingles(" ".join(x)) for x in (a, a[:22], a[:20], a[:19])]
