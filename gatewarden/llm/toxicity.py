@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from hashlib import blake2b
@@ -44,6 +44,8 @@ from gatewarden.llm.common import table
 MAX_EXAMPLES, K, BLOCK = 4_000, 15, 64
 #: Blocks opened first; a word is frequent if one example in SHARE holds it; texts looked up together; results a worker keeps.
 FIRST, SHARE, TOGETHER, KNOWN = 8, 25, 64, 50_000
+#: Characters of texts looked up together, if more than one: postings of their words are in memory at once.
+LONG = 400_000
 #: Closeness 1 weighs 1 / NEAR; weight of the empty vote.
 NEAR, EMPTY = 0.1, 0.5
 WORDS = re.compile(r"\w+")
@@ -61,6 +63,20 @@ def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size), size
 
 
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Runs of at most TOGETHER texts and, but for single texts, LONG characters."""
+    run, held = [], 0
+    for x in texts:
+        n = len(x or "")
+        if run and (len(run) == TOGETHER or held + n > LONG):
+            yield run
+            run, held = [], 0
+        run.append(x)
+        held += n
+    if run:
+        yield run
+
+
 def words_of(text: str | None) -> list[str]:
     """The lower-cased words of a whole text."""
     return WORDS.findall((text or "").lower())
@@ -379,7 +395,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", to: str = "toxicity
             return [known[m] for m in marks]
 
         for batch in batches:
-            made = [r for a in range(0, len(batch), TOGETHER) for r in results(batch.column(at).slice(a, TOGETHER).to_pylist())]
+            made = [r for texts in _together(x.as_py() for x in batch.column(at)) for r in results(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*names, to])
 
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*fields, T.StructField(to, kind)]))

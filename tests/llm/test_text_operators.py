@@ -139,6 +139,15 @@ def test_every_word_counts():
         assert i not in numbers
 
 
+def test_long_texts_are_looked_up_in_small_runs(monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG", 10)
+    monkeypatch.setattr(toxicity, "TOGETHER", 3)
+    texts = ["a" * 4, None, "b" * 4, "c" * 4, "d" * 25, "", "e" * 9, "f"]
+    runs = list(toxicity._together(iter(texts)))
+    assert [x for r in runs for x in r] == texts
+    assert [len(r) for r in runs] == [3, 1, 1, 3]
+
+
 def test_toxicity_learns_and_calibrates(frame):
     random.seed(9)
     word = lambda: "".join(random.choice("abcde") for _ in range(5))
