@@ -473,9 +473,7 @@ def clusters_without_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _page_clusters(spark, sf_dir)
-    a, b = rows.toDF("cluster", "i", "s"), rows.toDF("cluster", "j", "t")
-    d = a.join(b, "cluster").select("cluster", "i", "j", F.levenshtein("s", "t").alias("d"))
-    return signatures.representative(rows, d)
+    return signatures.representative(rows, signatures.distance_sums(rows))
 
 
 def rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
