@@ -264,8 +264,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _payloads(spark, sf_dir)
-    return signatures.clusters(rows, signatures.similar_pairs(rows))
+    return signatures.similar_clusters(_payloads(spark, sf_dir))
 
 
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
