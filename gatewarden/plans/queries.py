@@ -541,7 +541,7 @@ def abnormal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' URLs of four tasks, clustered at once."""
     rows = _payloads(spark, sf_dir).withColumn("task", F.col("idx") % 4)
-    return signatures.clusters(rows, signatures.similar_pairs(rows, within="task")).select("task", "idx", "cluster")
+    return signatures.similar_clusters(rows, within="task").select("task", "idx", "cluster")
 
 
 def detection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
