@@ -35,8 +35,9 @@ from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Sets of a block, on average, when texts are compared and when sketches meet; one text in SAMPLE is counted for the
 #: order, and at most HOT elements come last. Elements of a block's sets together, on average, when texts are compared.
+#: Bins of fine sketches: BINS of them don't tell sets of over some 3,000 elements apart, as chance differences are then below the bound.
 BLOCK, MEET, SAMPLE, HOT, BINS = 1024, 4096, 16, 200_000, 128
-HELD = 2_000_000
+HELD, FINE = 2_000_000, 2048
 _TOKENS = 4096
 
 
@@ -88,7 +89,7 @@ def sets(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
                 found = [np.unique(np.array(h, dtype="<u8")) for h in hashes]
                 fps = pa.array(np.array([of_hashes(h) for h in hashes], dtype=np.uint64).view(np.int64))
                 keys = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
-                made = [pa.array(keys), pa.array([len(x) for x in found], pa.int32()), pa.array([prefix(x) for x in found], pa.list_(pa.int32())), pa.array([np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in found], pa.binary()), fps]
+                made = [pa.array(keys), pa.array([len(x) for x in found], pa.int32()), pa.array([prefix(x) for x in found], pa.list_(pa.int32())), pa.array([_counts(x, BINS) for x in found], pa.binary()), fps]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "row", "key", "n", "prefix", "sketch", "fp"])
 
     return docs.select("id", "row", F.col(f"`{text}`")).mapInArrow(run, "id bigint, row bigint, key bigint, n int, prefix array<int>, sketch binary, fp bigint")
@@ -109,9 +110,14 @@ def _blocks(n: Column, size: int) -> Column:
 def near(n: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs that sizes and sketches don't rule out, by their places."""
     group = np.arange(len(n))
+    # Bins of bins rule out most of what fine ones would.
+    coarse = sketches.reshape(len(n), -1, BINS).sum(axis=1, dtype=np.int32) if sketches.shape[1] > BINS else None
     for i in range(len(n) - 1):
         j = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
         j = j[(np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)]
+        if len(j) and coarse is not None:
+            apart = np.abs(coarse[j] - coarse[i]).sum(axis=1, dtype=np.int64)
+            j = j[apart * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
         if len(j):
             apart = np.abs(sketches[j] - sketches[i]).sum(axis=1, dtype=np.int64)
             j = j[apart * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
@@ -211,19 +217,50 @@ def _compared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     yield ended(keys, found)
 
 
+def _members(parts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Where the text of each node of components (node, component) is, and into how many blocks its component is split:
+    (component, all, blocks, key, n, id, row), all being its number of nodes."""
+    whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()
+    found = written(whole.join(reps, F.col("node") == F.col("key")).select("component", "key", "n", "at.id", "at.row"), "parts")
+    blocks = F.greatest(*[F.ceil(n / most).cast("int") for n, most in ((F.count("*"), BLOCK), (F.sum("n"), HELD))])
+    sizes = found.groupBy("component").agg(F.count("*").alias("all"), blocks.alias("blocks"))
+    # A table, so that its size is known: if it is small, texts that take no part aren't moved.
+    out = written(found.join(sizes, "component").select("component", "all", "blocks", "key", "n", "id", "row"), "members")
+    released(found)
+    return out
+
+
+def _fine(nodes: DataFrame, size: int) -> DataFrame:
+    """(component, blocks, key, n, sketch) of (component, blocks, key, n, text): counts by FINE bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_counts(shingles(x.as_py(), size), FINE) for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=["component", "blocks", "key", "n", "sketch"])
+
+    return nodes.select("component", "blocks", "key", "n", "text").mapInArrow(run, "component bigint, blocks int, key bigint, n int, sketch binary")
+
+
+def _counts(found: np.ndarray, bins: int) -> bytes:
+    """How many elements are in each bin, 255 at most."""
+    return np.minimum(np.bincount((found % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
 def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between keys that connect the sets that are linked; ``own``: the sets of ``docs``, a table."""
     met, near = candidates(own), alike(own)
     edges = written(met.union(near), "candidates")
     released(met)
-    parts = components(edges)
-    whole = parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component")).distinct()
     reps = own.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.max("n").alias("n"))
-    own_parts = written(whole.join(reps, F.col("node") == F.col("key")).select("component", "key", "n", "at.id", "at.row"), "parts")
-    blocks = F.greatest(*[F.ceil(n / most).cast("int") for n, most in ((F.count("*"), BLOCK), (F.sum("n"), HELD))])
-    sizes = own_parts.groupBy("component").agg(blocks.alias("blocks"))
-    # A table, so that its size is known: if it is small, texts that take no part aren't moved.
-    nodes = written(own_parts.join(sizes, "component").select("component", "blocks", "key", "id", "row"), "members")
+    nodes = _members(components(edges), reps)
+    large = F.col("blocks") > 1
+    if not nodes.filter(large).isEmpty():
+        # Fine sketches are a fraction of long texts, and part what coarse ones can't.
+        fine = _fine(nodes.filter(large).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).join(docs, ["id", "row"]), size)
+        apart = components(written(_dealt(fine, "component", "n", "sketch").mapInArrow(_met, "a bigint, b bigint"), "apart"))
+        small = nodes.filter(~large).select(F.col("key").alias("node"), "component")
+        before, nodes = nodes, _members(apart.union(small), reps)
+        released(before)
     dealt = _dealt(nodes.join(docs, ["id", "row"]), "component", "text")
     return dealt.mapInArrow(lambda batches: _compared(batches, size), "a bigint, b bigint")
 
