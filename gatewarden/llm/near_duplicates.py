@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm import simhash
 from gatewarden.llm.common import released, written
+from gatewarden.llm.sieve import maybe, passing, sieve
 from gatewarden.llm.simhash import SEED, _Forest, components, of_hashes, one_of_each, shingle_hashes
 
 #: Words of a shingle; the least similarity, as a fraction.
@@ -150,21 +152,43 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(own: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the candidates among ``own`` (key, n, prefix, sketch), a table in which keys repeat."""
-    once = written(own.select("key", "n", "prefix", "sketch").dropDuplicates(["key"]), "once")
+    # Only sets that may be there several times are moved to find out.
+    several = maybe(sieve(own.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")), F.col("key"))
+    own = own.select("key", "n", "prefix", "sketch")
+    once = written(own.filter(~several).union(own.filter(several).dropDuplicates(["key"])), "once")
     rows = once.select("key", F.explode(F.array_distinct("prefix")).alias("element"))
     # Counted before they are shuffled: an element may be in a third of all prefixes. Elements in the same sets' prefixes
     # connect the same sets, so one of them stands for all; keys are hashes, so their number and exclusive or tell the sets.
     times = rows.groupBy("element").agg(F.count("*").alias("times"), F.bit_xor("key").alias("held")).filter("times > 1")
     stands = times.groupBy("times", "held").agg(F.min("element").alias("element"))
-    # A table, so that its size is known: if it is small, the elements of all prefixes aren't moved again.
     stands = written(stands.select("element", _blocks(F.col("times"), MEET)), "stands")
-    rows = rows.join(stands, "element").select("element", "key", "blocks")
+    # Most elements of prefixes stand for nothing and aren't moved again.
+    rows = _sifted(once, sieve(stands.select("element"))).join(stands, "element").select("element", "key", "blocks")
     met = _dealt(rows.join(once.select("key", "n", "sketch"), "key"), "element", "n", "sketch").mapInArrow(_met, "a bigint, b bigint")
     found = written(met.distinct(), "met")
     released(once, stands)
     return found
 
 
+def _sifted(once: DataFrame, held: Broadcast) -> DataFrame:
+    """(key, element) of ``once`` (key, prefix) for each element of a prefix that may be in the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, prefix = batch.column(0).to_numpy(), batch.column(1)
+            keys, elements = np.repeat(key, prefix.value_lengths().to_numpy()), prefix.flatten().to_numpy()
+            left = passing(held.value, elements)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[left]), pa.array(elements[left])], names=["key", "element"])
+
+    return once.select("key", F.array_distinct("prefix").alias("prefix")).mapInArrow(run, "key bigint, element int")
+
+
+def _sieved(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` (id, row, text) without most of the rows that ``nodes`` (id, row), a table, doesn't name."""
+    at = F.xxhash64("id", "row")
+    return docs.filter(maybe(sieve(nodes.select(at)), at))
+
+
 def alike(own: DataFrame) -> DataFrame:
     """Edges (a, b) between keys of ``own`` (key, fp) whose SimHash fingerprints are linked, found with BK-trees."""
     nodes = written(own.groupBy("fp").agg(F.min("key").alias("node")), "nodes")
@@ -224,21 +248,20 @@ def _members(parts: DataFrame, reps: DataFrame) -> DataFrame:
     found = written(whole.join(reps, F.col("node") == F.col("key")).select("component", "key", "n", "at.id", "at.row"), "parts")
     blocks = F.greatest(*[F.ceil(n / most).cast("int") for n, most in ((F.count("*"), BLOCK), (F.sum("n"), HELD))])
     sizes = found.groupBy("component").agg(F.count("*").alias("all"), blocks.alias("blocks"))
-    # A table, so that its size is known: if it is small, texts that take no part aren't moved.
     out = written(found.join(sizes, "component").select("component", "all", "blocks", "key", "n", "id", "row"), "members")
     released(found)
     return out
 
 
-def _fine(nodes: DataFrame, size: int) -> DataFrame:
-    """(component, blocks, key, n, sketch) of (component, blocks, key, n, text): counts by FINE bins."""
+def _fine(docs: DataFrame, size: int) -> DataFrame:
+    """(id, row, sketch) of ``docs`` (id, row, text): counts by FINE bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_counts(shingles(x.as_py(), size), FINE) for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=["component", "blocks", "key", "n", "sketch"])
+            made = [_counts(shingles(x.as_py(), size), FINE) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["id", "row", "sketch"])
 
-    return nodes.select("component", "blocks", "key", "n", "text").mapInArrow(run, "component bigint, blocks int, key bigint, n int, sketch binary")
+    return docs.select("id", "row", "text").mapInArrow(run, "id bigint, row bigint, sketch binary")
 
 
 def _counts(found: np.ndarray, bins: int) -> bytes:
@@ -255,21 +278,25 @@ def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     nodes = _members(components(edges), reps)
     large = F.col("blocks") > 1
     if not nodes.filter(large).isEmpty():
-        # Fine sketches are a fraction of long texts, and part what coarse ones can't.
-        fine = _fine(nodes.filter(large).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).join(docs, ["id", "row"]), size)
+        # Fine sketches are a fraction of long texts, and part what coarse ones can't; they are made before they are moved.
+        wide = nodes.filter(large).withColumn("blocks", F.ceil(F.col("all") / (2 * BLOCK)).cast("int"))
+        fine = wide.join(_fine(_sieved(docs, wide), size), ["id", "row"]).select("component", "blocks", "key", "n", "sketch")
         apart = components(written(_dealt(fine, "component", "n", "sketch").mapInArrow(_met, "a bigint, b bigint"), "apart"))
         small = nodes.filter(~large).select(F.col("key").alias("node"), "component")
         before, nodes = nodes, _members(apart.union(small), reps)
         released(before)
-    dealt = _dealt(nodes.join(docs, ["id", "row"]), "component", "text")
+    dealt = _dealt(nodes.join(_sieved(docs, nodes), ["id", "row"]), "component", "text")
     return dealt.mapInArrow(lambda batches: _compared(batches, size), "a bigint, b bigint")
 
 
 def rooted(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, row, root) of ``docs`` (id, row, text): the smallest key reachable by links."""
+    """(id, row, root) of ``docs`` (id, row, text), a table: the smallest key reachable by links."""
     own = written(sets(docs, size=size), "sets")
     groups = components(written(links(docs, own, size), "links")).withColumnRenamed("node", "key")
-    return own.select("id", "row", "key").join(groups, "key", "left").select("id", "row", F.coalesce("component", "key").alias("root"))
+    found = own.select("id", "row", "key").join(groups, "key", "left").select("id", "row", F.coalesce("component", "key").alias("root"))
+    found = written(found, "rooted")
+    released(own, groups)
+    return found
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from gatewarden.llm.common import fresh
 from gatewarden.llm.common import others as kept
 from gatewarden.llm.common import released, table, written
+from gatewarden.llm.sieve import maybe, sieve
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a shard's tree, on average; fingerprints a bucket should hold, which decides the number of blocks.
@@ -295,18 +296,25 @@ def grouped(fps: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of linked fingerprints stays."""
-    return one_of_each(docs, lambda narrow: rooted(written(fingerprints(narrow), "fps")), doc_id, text)
+    return one_of_each(docs, lambda narrow: written(rooted(written(fingerprints(narrow), "fps")), "rooted"), doc_id, text)
 
 
 def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group stays: that with the smallest id, and of rows with the same id the one with the smallest
-    hash of all columns; of rows equal in every column, one. ``groups_of`` gives (id, row, doc_id, text) its ``root``."""
+    hash of all columns; of rows equal in every column, one. ``groups_of`` gives (id, row, doc_id, text) its ``root``, as a table."""
     keyed, at = fresh(docs, row=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), id=F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)))
     pair = [at["id"], at["row"]]
     narrow = keyed.select(F.col(at["id"]).alias("id"), F.col(at["row"]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    best = groups_of(narrow).groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
+    found = groups_of(narrow).select("id", "row", "root")
+    best = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
+    several = written(best.filter("n > 1").select("root", "best"), "best")
+    lost = found.join(several, "root").filter(F.struct("id", "row") != F.col("best")).select("id", "row")
+    repeated = found.groupBy("id", "row").agg(F.count("*").alias("n")).filter("n > 1").select("id", "row")
+    # What is neither lost nor repeated stays and isn't moved; what may be is settled by the exact join.
+    open_ = maybe(sieve(lost.union(repeated).select(F.xxhash64("id", "row"))), F.xxhash64(*pair))
+    released(several)
     stay = best.select(F.col("best.id").alias(at["id"]), F.col("best.row").alias(at["row"]))
-    return keyed.join(stay, pair, "left_semi").dropDuplicates(pair).drop(*pair)
+    return keyed.filter(~open_).unionByName(keyed.filter(open_).join(stay, pair, "left_semi").dropDuplicates(pair)).drop(*pair)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
-from gatewarden.llm import near_duplicates, simhash
+from gatewarden.llm import near_duplicates, sieve, simhash
 from gatewarden.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +92,45 @@ def test_links_are_exact():
     assert list(near_duplicates.linked([sets[0], sets[3]])) == []
 
 
+def test_texts_without_a_partner_are_not_moved(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)  # the fine sketches take part, too
+    texts = [" ".join(f"w{rng.random()}" for _ in range(150)) for _ in range(400)]
+    docs = [(k, t) for k, t in enumerate([*texts, *[f"{texts[0]} end{k}" for k in range(6)], texts[1], texts[1]])] + [(407, texts[1])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        moved = _shuffled(spark)
+        got = near_duplicates.deduplicated(spark.read.parquet(str(tmp_path / "docs"))).collect()
+        moved = _shuffled(spark) - moved
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert moved < sum(len(t) for t in texts)  # once would be that much
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_a_sieve_keeps_all_keys_and_few_others(frame, monkeypatch, most):
+    monkeypatch.setattr(sieve, "MOST", most)
+    rng = random.Random(most)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(12_000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    held = sieve.sieve(frame([(k,) for k in keys], "key bigint")).value
+    assert len(held) == min(most, 3)
+    assert sieve.passing(held, np.array(keys, np.int64)).all()
+    others = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 100_000)
+    assert sieve.passing(held, others).mean() < (0.02 if most > 1 else 0.5)
+    assert not sieve.passing(sieve.sieve(frame([], "key bigint")).value, others).any()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_stage_keeps_what_brute_force_keeps(spark):
     import corpus_pipeline as pipeline
