@@ -183,10 +183,10 @@ def _sifted(once: DataFrame, held: Broadcast) -> DataFrame:
     return once.select("key", F.array_distinct("prefix").alias("prefix")).mapInArrow(run, "key bigint, element int")
 
 
-def _sieved(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``docs`` (id, row, text) without most of the rows that ``nodes`` (id, row), a table, doesn't name."""
+def _held(nodes: DataFrame) -> tuple[Broadcast, Column]:
+    """A sieve of the rows that ``nodes`` (id, row), a table, names, and the key that a row has there."""
     at = F.xxhash64("id", "row")
-    return docs.filter(maybe(sieve(nodes.select(at)), at))
+    return sieve(nodes.select(at)), at
 
 
 def alike(own: DataFrame) -> DataFrame:
@@ -253,15 +253,19 @@ def _members(parts: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
-def _fine(docs: DataFrame, size: int) -> DataFrame:
-    """(id, row, sketch) of ``docs`` (id, row, text): counts by FINE bins."""
+def _fine(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(id, row, sketch), counts by FINE bins, of the rows of ``docs`` (id, row, text) that ``nodes`` (id, row), a table,
+    names, and of few others."""
+    held, at = _held(nodes)
 
+    # The sieve is asked here, as a function of its own would take a second Python process for each task.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passing(held.value, batch.column(3).to_numpy())))
             made = [_counts(shingles(x.as_py(), size), FINE) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["id", "row", "sketch"])
 
-    return docs.select("id", "row", "text").mapInArrow(run, "id bigint, row bigint, sketch binary")
+    return docs.select("id", "row", "text", at).mapInArrow(run, "id bigint, row bigint, sketch binary")
 
 
 def _counts(found: np.ndarray, bins: int) -> bytes:
@@ -280,12 +284,13 @@ def links(docs: DataFrame, own: DataFrame, size: int = SHINGLE) -> DataFrame:
     if not nodes.filter(large).isEmpty():
         # Fine sketches are a fraction of long texts, and part what coarse ones can't; they are made before they are moved.
         wide = nodes.filter(large).withColumn("blocks", F.ceil(F.col("all") / (2 * BLOCK)).cast("int"))
-        fine = wide.join(_fine(_sieved(docs, wide), size), ["id", "row"]).select("component", "blocks", "key", "n", "sketch")
+        fine = wide.join(_fine(docs, wide, size), ["id", "row"]).select("component", "blocks", "key", "n", "sketch")
         apart = components(written(_dealt(fine, "component", "n", "sketch").mapInArrow(_met, "a bigint, b bigint"), "apart"))
         small = nodes.filter(~large).select(F.col("key").alias("node"), "component")
         before, nodes = nodes, _members(apart.union(small), reps)
         released(before)
-    dealt = _dealt(nodes.join(_sieved(docs, nodes), ["id", "row"]), "component", "text")
+    held, at = _held(nodes)
+    dealt = _dealt(nodes.join(docs.filter(maybe(held, at)), ["id", "row"]), "component", "text")
     return dealt.mapInArrow(lambda batches: _compared(batches, size), "a bigint, b bigint")
 
 
